@@ -72,7 +72,7 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = 8 << 20) -> Iterator[p
         yield batch.slice(at, step)
 
 
-def map_text(df: DataFrame, text: str, schema: str, fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
+def map_text(df: DataFrame, text: str, schema: str, fn: Callable[[pa.RecordBatch], list], limit: int = 8 << 20) -> DataFrame:
     """mapInArrow over slices; ``fn`` returns the columns in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -81,7 +81,18 @@ def map_text(df: DataFrame, text: str, schema: str, fn: Callable[[pa.RecordBatch
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, limit):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(fn(part), arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, text: str, keep: Callable[[pa.Array], list[bool]], limit: int = 8 << 20) -> DataFrame:
+    """The rows, with all their columns, for whose text ``keep`` says true."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, text, limit):
+                yield part.filter(pa.array(keep(part.column(part.schema.get_field_index(text))), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

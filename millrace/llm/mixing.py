@@ -13,7 +13,7 @@ words get target 0; an empty table gives an empty result; a null id hashes like
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
@@ -24,16 +24,19 @@ MOST_REPEATS = 3.0
 DIGITS, LEVELS = 3, 4
 
 
-def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, h): words of the text and the hash's hex digits."""
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS).alias("h"),
+def size_and_hash() -> tuple[Column, Column]:
+    """``size``: words of ``text``; ``h``: the hash of ``doc_id`` in hex digits."""
+    return (
+        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS).alias("h"),
     )
 
 
+def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, size, h)."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).select("doc_id", "source", *size_and_hash())
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
     """(source, source_size, target). One row a source: its share of all words by weight, no more than ``most`` times its own words.
 
@@ -80,13 +83,37 @@ def thresholds(scratch: Scratch, sized: DataFrame, goals: DataFrame) -> DataFram
     return state
 
 
-def mix(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): ``taken`` counts the words that the mix takes of the document, repeats included."""
-    scratch = Scratch(spark, "mixing")
-    sized = scratch.save(sizes(docs, doc_id, text, source), "sizes")
+def planned(scratch: Scratch, sized: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
+    """(of, source_size, target, passes, cut, rest, tied): one row a source."""
     goals = scratch.save(targets(sized, weights, most), "targets")
     cuts = thresholds(scratch, sized, goals)
-    plan = goals.join(cuts.withColumnRenamed("source", "s"), goals["source"].eqNullSafe(F.col("s"))).select(F.col("source").alias("of"), "source_size", "target", "passes", "cut", "rest", "tied")
+    return goals.join(cuts.withColumnRenamed("source", "s"), goals["source"].eqNullSafe(F.col("s"))).select(F.col("source").alias("of"), "source_size", "target", "passes", "cut", "rest", "tied")
+
+
+def taken() -> Column:
+    """The words that the mix takes of a document, from its size and hash and its source's plan."""
     prefix = F.substring(F.col("h"), F.lit(1), F.length("cut"))
     more = F.when(prefix < F.col("cut"), F.col("size")).when((prefix == F.col("cut")) & (F.col("tied") > 0), F.floor(F.col("size") * F.col("rest") / F.col("tied"))).otherwise(0)
-    return sized.join(plan, sized["source"].eqNullSafe(plan["of"])).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes") + more).cast("long").alias("taken"))
+    return (F.col("size") * F.col("passes") + more).cast("long")
+
+
+def mix(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken): ``taken`` counts the words that the mix takes of the document, repeats included."""
+    scratch = Scratch(spark, "mixing")
+    sized = scratch.save(sizes(docs, doc_id, text, source), "sizes")
+    plan = planned(scratch, sized, weights, most)
+    return sized.join(plan, sized["source"].eqNullSafe(plan["of"])).select("doc_id", "source", "size", "source_size", "target", taken().alias("taken"))
+
+
+def mixed_rows(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them.
+
+    The one document a source whose hash is the threshold, and which is taken in part, counts as whole if half
+    of it or more is taken. Rows without words go. Only the plan (a row a source) is joined: texts don't move.
+    """
+    scratch = Scratch(spark, "mixing")
+    plan = planned(scratch, scratch.save(sizes(docs, doc_id, text, source), "sizes"), weights, most)
+    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    inner = inner.select("row", "source", *size_and_hash())
+    found = inner.join(plan, inner["source"].eqNullSafe(plan["of"])).withColumn("copies", F.when(F.col("size") > 0, F.round(taken() / F.col("size"))).otherwise(0).cast("int"))
+    return found.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash_dedup, token_store
-from .common import table
+from . import decontaminate, html_text, language_id, mixing, quality_rules, shard_store, simhash_dedup, token_store, toxicity, warc_fixity
+from .common import Scratch, key_crc, table
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = quality_rules.judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +25,56 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark, table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = key_crc(F.col("doc_id")) % 3 == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.predict(spark, docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = key_crc(F.col("doc_id")) % 5 == 0
+    languages, weights = language_id.fit(docs, ~held_out)
+    return language_id.predict(spark, docs, languages, weights).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))
+
+
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a WARC archive, audited against a replica in which one record in 97 has decayed."""
+    root = Scratch(spark, "warc").root
+    warc_fixity.write(table(spark, sf_dir, "pages"), f"{root}/first")
+
+    def decay(key: int | None, raw: bytes) -> bytes:
+        if key is None or key % 97 != 5:
+            return raw
+        at = len(raw) // 2
+        return raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :]
+
+    warc_fixity.copy(spark, f"{root}/first", f"{root}/second", decay)
+    return warc_fixity.fixity(spark, f"{root}/first", f"{root}/second").withColumnRenamed("key", "page_id")
+
+
+def op10_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in eight runs, are compacted by tiers and read back through the newest manifest."""
+    docs = table(spark, sf_dir, "documents").withColumn("arrival", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(8)).cast("int"))
+    store = shard_store.ShardStore(spark, Scratch(spark, "shards").root)
+    store.append_arrivals(docs, "arrival")
+    store.compact()
+    store.vacuum()
+    kept = store.read(schema=docs.schema)
+    return kept.select("doc_id", "arrival", "lang", "source", F.length("text").cast("long").alias("n_text"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,9 +112,47 @@ JOIN run r ON r.source IS NOT DISTINCT FROM s.source AND r.h = s.h
 """
 
 
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?"''()[]{}|#$%&*<>', ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?"''()[]{}|#$%&*<>', ''), '[^\x20\x09-\x0D]+') AS w
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+bs AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
+ds AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+hit AS (
+  SELECT doc_id, item_id FROM ds JOIN bs USING (s) JOIN bn USING (item_id)
+  GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n),
+good AS (
+  SELECT hit.doc_id, hit.item_id FROM hit JOIN b USING (item_id) JOIN d USING (doc_id)
+  WHERE len(list_intersect(list_distinct(b.w[-5:]), d.w)) >= 0.5 * len(list_distinct(b.w[-5:]))),
+per AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM good GROUP BY 1)
+SELECT documents.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items, '') AS items
+FROM documents LEFT JOIN per USING (doc_id)
+"""
+
+OP8_SQL = """
+WITH r AS (
+  SELECT page_id, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e
+    || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS record
+  FROM pages, (SELECT chr(13) || chr(10) AS e))
+SELECT page_id, strlen(record)::BIGINT AS n_bytes, sha256(record) AS digest, coalesce(page_id % 97 = 5, false) AS damaged FROM r
+"""
+
+OP10_SQL = """
+SELECT doc_id, (coalesce(doc_id, 0) % 8)::INT AS arrival, lang, source, length(text)::BIGINT AS n_text, md5(text) AS text_md5 FROM documents
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": OP9_SQL}
+    return {"op7_benchmark_leaks": OP7_SQL, "op8_warc_fixity": OP8_SQL, "op9_mix_sources": OP9_SQL, "op10_shard_store": OP10_SQL}
