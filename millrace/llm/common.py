@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,10 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables in the shared folder. They cut lineage and outlive any executor; ``drop`` frees one early."""
+    """Written tables in the shared folder. They cut lineage and outlive any executor.
+
+    Results read them lazily, so they stay until the driver's Python ends, or until ``drop`` frees one.
+    """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}", 0
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        try:
+            remove(self.spark, self.root)
+        except Exception:  # the session has ended; a later sweep of the folder finds it
+            pass
 
     def path(self, name: str) -> str:
         self.count += 1

@@ -9,7 +9,7 @@ Training the toxic dictionary picks word beginnings and words by their log-odds
 documents; training the ordinary one adds, round after round, the ordinary words that the toxic dictionary
 would still compress better, until none is left. Each window stands between fixed bytes that both
 dictionaries hold, since zstandard neither compresses very short inputs nor finds matches in their
-last bytes. The calibration sees gains of dictionaries trained on the other half of the labelled rows.
+last bytes. The calibration sees gains by dictionaries that were trained without the rows in question.
 
 Cases: a null or empty text has no windows and gets the score of a text without any gain; null labels
 and null texts are not learned from; without labels of both kinds every score is 0; repeated rows each
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import map_text, texts
 
 #: Labelled rows that are learned from at most (those of the least id hashes), and the longest text among them.
-FIT_ROWS, FIT_CHARS = 8_000, 100_000
+FIT_ROWS, FIT_CHARS = 6_000, 100_000
+#: Parts of the labelled rows that are scored by dictionaries of the other parts.
+FOLDS = 5
 #: Bytes of a window, and of the step between windows of a long word.
 WINDOW, STEP = 48, 24
 #: Bytes of each part of the dictionaries.
@@ -73,15 +75,19 @@ class Gains(dict):
         return gain
 
 
+def shaped(counts: np.ndarray) -> np.ndarray:
+    """From the number of words and the words that reach each threshold: what the score depends on."""
+    return np.column_stack([np.minimum(counts[:, 1:], MOST), np.log1p(counts[:, 0]), np.ones(len(counts))])
+
+
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
-    weights: tuple[float, ...]  # of each threshold, then the constant
+    weights: tuple[float, ...]
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        z = np.minimum(counts, MOST) @ np.array(self.weights[:-1]) + self.weights[-1]
-        return 1 / (1 + np.exp(-z))
+        return 1 / (1 + np.exp(-(shaped(counts) @ np.array(self.weights))))
 
 
 @functools.lru_cache(maxsize=4)
@@ -91,12 +97,12 @@ def gains(ordinary: bytes, toxic: bytes) -> Gains:
 
 
 def reached(raw: bytes | None, found: Gains) -> list[int]:
-    """How many words of a whole text reach each of GAINS."""
+    """The number of words of a whole text, and of those that reach each of GAINS."""
     if not raw:
-        return [0] * len(GAINS)
+        return [0] * (1 + len(GAINS))
     by_gain = np.bincount(np.clip(np.fromiter(map(found.__getitem__, raw.lower().split()), np.int64), 0, GAINS[-1]), minlength=GAINS[-1] + 1)
     upto = by_gain[::-1].cumsum()[::-1]
-    return [int(upto[g]) for g in GAINS]
+    return [int(upto[0]), *(int(upto[g]) for g in GAINS)]
 
 
 def _starts(word: bytes) -> list[bytes]:
@@ -143,7 +149,7 @@ def train(rows: list[tuple[bytes, bool]]) -> tuple[bytes, bytes]:
         if size >= COMMON_BYTES:
             break
     ordinary = b" " + b" ".join(reversed(common)) + b" "
-    mild = [(w, n) for w, n in seen[False].items() if odds(seen[True][w], n) < 1]
+    mild = [(w, n) for w, n in seen[False].items() if n > 1 and odds(seen[True][w], n) < 1]
     for _ in range(ROUNDS):
         found = Gains(ordinary, content)
         hard = sorted((-found[w] * n**0.5, w) for w, n in mild if found[w] >= 2)[:HARD_WORDS]
@@ -156,7 +162,7 @@ def train(rows: list[tuple[bytes, bool]]) -> tuple[bytes, bytes]:
 
 def calibrate(counts: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[float, ...]:
     """Logistic regression by Newton steps."""
-    x = np.column_stack([np.minimum(counts, MOST), np.ones(len(counts))]).astype(float)
+    x = shaped(counts).astype(float)
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ w)))
@@ -166,15 +172,15 @@ def calibrate(counts: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int
 
 def learn(rows: list[tuple[bytes, bool]]) -> Model | None:
     """Rows: (text, toxic), in an order that has nothing to do with their contents."""
-    halves = rows[::2], rows[1::2]
-    if any(len({t for _, t in h}) < 2 for h in halves):
+    parts = [rows[k::FOLDS] for k in range(FOLDS)]
+    if any(len({t for j, p in enumerate(parts) if j != k for _, t in p}) < 2 for k in range(FOLDS)):
         return None
     counts, y = [], []
-    for own, other in (halves, halves[::-1]):
-        found = Gains(*train(own))
-        counts += [reached(raw, found) for raw, _ in other]
-        y += [t for _, t in other]
-    return Model(*train(rows), calibrate(np.array(counts), np.array(y, float)))
+    for k, part in enumerate(parts):
+        found = Gains(*train([r for j, p in enumerate(parts) if j != k for r in p]))
+        counts += [reached(raw, found) for raw, _ in part]
+        y += [t for _, t in part]
+    return Model(*train(rows), calibrate(np.array(counts, float), np.array(y, float)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
@@ -195,7 +201,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None, doc_id: s
         if (m := sent.value) is None:
             return [batch.column(0), [0.0] * batch.num_rows, [0] * batch.num_rows]
         found = gains(m.ordinary, m.toxic)
-        counts = np.array([reached(t, found) for t in texts(batch.column(1))], float).reshape(-1, len(GAINS))
-        return [batch.column(0), m.score(counts), counts[:, len(GAINS) // 2].astype(np.int64)]
+        counts = np.array([reached(t, found) for t in texts(batch.column(1))], float).reshape(-1, 1 + len(GAINS))
+        return [batch.column(0), m.score(counts), counts[:, 1 + len(GAINS) // 2].astype(np.int64)]
 
     return map_text(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", "doc_id long, score double, n_hits long", columns)
