@@ -58,8 +58,8 @@ def reclock(df: DataFrame, ticks: DataFrame, time: str = "epoch", tick: str = "t
     kept = F.struct(*df.columns)
     both = df.select(kept.alias("__row"), F.col(time).alias("__at"), F.lit(None).cast("long").alias("__t"), bucket(F.col(time)).alias("__bucket"))
     both = both.unionByName(clock.select(F.lit(None).cast(df.schema).alias("__row"), F.col("__t").alias("__at"), F.col("__t").cast("long").alias("__t"), "__bucket"))
-    # At one time, rows come before the tick that frees them.
-    inner = Window.partitionBy("__bucket").orderBy("__at", F.col("__t").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Backwards in time, so that the frame only grows; at one time, a tick comes before the rows that it frees.
+    inner = Window.partitionBy("__bucket").orderBy(F.desc("__at"), F.col("__t").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     held = both.withColumn("__next", F.min("__t").over(inner)).where("__row is not null")
     firsts = clock.groupBy("__bucket").agg(F.min("__t").alias("__first"))
     spans = firsts.select(F.lag("__bucket").over(Window.orderBy("__bucket")).alias("__from"), F.col("__bucket").alias("__to"), "__first")  # one row a bucket
