@@ -39,8 +39,8 @@ BLOCK_ITEMS = 16
 #: Bytes of item text in one part of the index.
 PART_BYTES = 16 << 20
 PUNCTUATION = b".,;:!?\"'()[]{}|#$%&*<>"
-#: Cells (passages x items) that are scored at once.
-CELLS = 1 << 21
+#: Postings, and cells (passages x items), that are scored at once: they bound a worker's memory.
+CELLS = 1 << 20
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
@@ -111,9 +111,11 @@ class Index:
         alive = reach.any(axis=1)
         able, reach = able[alive], reach[alive]
         best: dict[tuple[int, int], float] = {}
-        step = max(1, CELLS // max(len(self.ids), self.window))
-        for at in range(0, len(able), step):
-            some, ok = able[at : at + step], reach[at : at + step]
+        many = np.concatenate([[0], np.cumsum(np.maximum(bound(np.diff(self.first).astype(float), able), len(self.ids)))])
+        at = 0
+        while at < len(able):
+            stop = max(at + 1, int(np.searchsorted(many, many[at] + CELLS, side="right")) - 1)
+            some, ok, at = able[at:stop], reach[at:stop], stop
             width = end[some] - start[some]
             row = np.repeat(np.arange(len(some)), width)
             place = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width) + start[some][row]
