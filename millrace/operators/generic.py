@@ -47,3 +47,25 @@ def sink(df: DataFrame, fn: Callable[[pd.DataFrame], None]) -> None:
             fn(frame)
 
     df.foreachPartition(run)
+
+
+def in_step(df: DataFrame, phases: Sequence[Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """Each phase begins once every worker has ended the one before. All partitions run at once, and each must fit in memory."""
+    from pyspark import BarrierTaskContext
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [f for f in frames if len(f)]
+        for phase in phases:
+            own = [phase(f) for f in own]
+            BarrierTaskContext.get().barrier()
+        yield from own
+
+    return df.mapInPandas(run, schema, barrier=True)
+
+
+def sequenced(df: DataFrame, time: str, worker: str, place: str, out: str = "sequence") -> DataFrame:
+    """One order for what several workers say: by time, worker and place in the worker's own sequence, numbered from 0."""
+    from ..functions.ordered import number_rows
+
+    numbered = number_rows(df, time, ties=[worker, place], out=out)
+    return numbered.withColumn(out, numbered[out] - 1)

@@ -317,3 +317,11 @@ def test_records(spark):
     timed = model.timed(model.envelope(spark.range(1), F.lit(100)), F.lit(7), network_ns=F.lit(3)).first()
     assert (timed.start_ns, timed.last_ns, timed.latency_ns) == (100, 110, 10)
     assert model.timed(model.timed(model.envelope(spark.range(1), F.lit(0)), F.lit(7)), F.lit(5), reset=True).first().latency_ns == 5
+
+
+def test_in_step_and_sequenced(spark):
+    got = generic.in_step(spark.range(6).repartition(2), [lambda f: f.assign(id=f["id"] + 1), lambda f: f.assign(id=f["id"] * 10)], "id long")
+    assert sorted(r.id for r in got.collect()) == [10, 20, 30, 40, 50, 60]
+    rows = [(5, 1, 0), (3, 0, 0), (5, 0, 1), (5, 0, 0)]
+    got = generic.sequenced(spark.createDataFrame(rows, "t long, w int, p int"), "t", "w", "p").orderBy("sequence").collect()
+    assert [(r.t, r.w, r.p, r.sequence) for r in got] == [(3, 0, 0, 0), (5, 0, 0, 1), (5, 0, 1, 2), (5, 1, 0, 3)]

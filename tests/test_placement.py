@@ -139,3 +139,46 @@ def test_placement_files(spark, tmp_path):
     assert json.loads((tmp_path / "plan.json").read_text()) == plan
     files.write_plan(plan, str(tmp_path / "plan.yaml"))
     assert (tmp_path / "plan.yaml").read_text() == "a: 1.5\nb:\n  x:\n    - 1\n    - 2\n"
+
+
+def folder(path):
+    tables = {
+        "workers_specs": "small,1.0\nlarge,3.0\n",
+        "logical_graph": "cam,image\nmic,speech\nimage,vqa\nspeech,vqa\n",
+        "execution_profile": "image,small,r18,50\nimage,large,r18,10\nimage,large,r152,30\nspeech,small,base,100\nspeech,large,base,20\nvqa,large,default,5\nvqa,small,default,20\n",
+        "message_sizes": "cam,image,default,default,800\nmic,speech,default,default,100\nimage,vqa,r18,default,2\nimage,vqa,default,default,8\nspeech,vqa,default,default,0.1\n",
+        "input_injection_rates": "cam,20\nmic,10\n",
+    }
+    for name, text in tables.items():
+        (path / f"{name}.csv").write_text(text)
+    return str(path)
+
+
+def test_from_folder_to_plan(spark, tmp_path):
+    from millrace.plans import inputs as I
+
+    at = folder(tmp_path)
+    (tmp_path / "workers_numbers.csv").write_text("small,3\nlarge,2\n")
+    (tmp_path / "workers_partition.json").write_text(json.dumps([["small_0", "small_1", "small_2"], ["large_0", "large_1"]]))
+    given = I.read_folder(spark, at)
+    image = P.Profile("image", (), {"r18": (((), 60.0),), "r152": (((), 80.0),)}, {"r18": 1.0, "r152": 2.0})
+    speech = P.Profile("speech", (), {"base": (((), 50.0),)}, {"base": 1.0})
+    vqa = P.Profile("vqa", ("image", "speech"), {"default": (((60.0, 50.0), 50.0), ((80.0, 50.0), 60.0))}, {"default": 1.0})
+    settings = I.Settings(strategy="multiple-tiers", allocation="greedy", best_k=20, link_scale=0.1)
+    measured = {(("image", "r18"), ("speech", "base"), ("vqa", "default")): 51.0}
+    plan = I.optimize(spark, given, [image, speech, vqa], "vqa", 45.0, settings, measured)
+    best = I.exhaustive(spark, given, [({"image": "r18", "speech": "base", "vqa": "default"}, 51.0), ({"image": "r152", "speech": "base", "vqa": "default"}, 61.0)], 45.0, settings)
+    assert plan["end_to_end_accuracy"] == 51.0 and plan["model_assignment"]["image"] == "r18"
+    assert plan["compute_cost"] + plan["communication_cost"] >= best["cost"] - 1e-9
+    problem = I.with_variants(spark, given, {"image": "r18", "speech": "base", "vqa": "default"}, I.Settings(latency_ratio=2.0))
+    assert problem.sizes[("image", "vqa")] == 2.0 and problem.ratios[("cam", "image")] == 1.0 and problem.latency[("image", "small_1")] == 100.0
+    assert problem.expected == {"cam": 20.0, "mic": 10.0, "image": 20.0, "speech": 10.0, "vqa": 10.0}
+    assert I.with_variants(spark, given, {"image": "r152", "speech": "base", "vqa": "default"}, settings).sizes[("image", "vqa")] == 8.0
+
+
+def test_concrete_workers_without_partition(spark, tmp_path):
+    from millrace.plans import inputs as I
+
+    at = folder(tmp_path)
+    (tmp_path / "workers_workers_link.csv").write_text("small,large,1.0\n")
+    assert I.read_folder(spark, at).tiers == [["large"], ["small"]]

@@ -176,3 +176,20 @@ def test_model_backends(spark):
     assert len(texts[0].split()) == 3 and texts[1] is None
     runs = W.replicated_run(df, [lambda d: W.model_map(d, "image", "resnet50", "data", "f", "array<float>")], times=2)
     assert len(runs) == 2 and isinstance(runs[0].toPandas(), pd.DataFrame)
+
+
+def test_metrics_listener(spark, tmp_path):
+    import time
+
+    from millrace.streaming import metrics
+
+    seen = metrics.attach(spark)
+    path = str(tmp_path / "in")
+    spark.range(12).write.parquet(path)
+    memory(inputs.file_source(spark, path, "id long"), "metered", tmp_path)
+    for _ in range(50):
+        if sum(r[2] for r in seen.records) >= 12:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(seen)
+    assert sum(r.rows for r in seen.frame(spark).collect()) == 12 and '"query": "metered"' in metrics.to_json(seen)
