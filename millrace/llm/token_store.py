@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -73,25 +75,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.kept: dict[str, bytes] = {}
         self.by_piece = '"ByteLevel"' in self.tokenizer.to_str()[:4000]
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        found = array(self.code, ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         split = [self.PIECE.findall(t) if self.by_piece and not self.OTHER.search(t) else None for t in texts]
-        kept, fresh = self.kept, {}
-        missing = list({p for s in split if s is not None for p in s if p not in kept})
+        kept = self.kept
+        missing = list(set().union(*(s for s in split if s is not None)).difference(kept))
         if missing:
             got = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            fresh = {p: self.packed(e.ids) for p, e in zip(missing, got, strict=True)}
-            if len(kept) + len(fresh) <= CACHE_PIECES:
-                kept.update(fresh)
-                fresh = {}
-        look = kept.__getitem__ if not fresh else lambda p: kept.get(p) or fresh[p]
-        return [self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(look, s)) for t, s in zip(texts, split, strict=True)]
+            kept.update((p, self.packed(e.ids)) for p, e in zip(missing, got, strict=True))
+        out = [self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(kept.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        if len(kept) > CACHE_PIECES:
+            for p in missing:
+                del kept[p]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -169,7 +175,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id
             return pa.RecordBatch.from_pylist([shard_row(part, seq, keys, payloads, enc.width)], schema=arrow)
 
         for batch in batches:
-            for piece in pieces(batch, "text", 4 << 20):
+            for piece in pieces(batch, "text", 8 << 20):
                 ids = enc.encode([t or "" for t in piece.column(1).to_pylist()])
                 for k, p in zip(piece.column(0).to_pylist(), ids, strict=True):
                     if keys and held + len(p) // enc.width + 1 > shard_ids:
