@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import number_rows
+
 # Characters that the word tokenizer deletes, those that it cuts at, and those that the separating tokenizer keeps as tokens.
 DELETED = r"""[?!'"$:@(),.;]"""
 CUT = "[-/]"
@@ -50,10 +52,10 @@ def str2bool(text: Column) -> Column:
 
 
 def vocabulary(tokens: DataFrame, doc: str, position: str, word: str, above: int = 0) -> DataFrame:
-    """(word, n, wid) of words that occur more than ``above`` times; ids from 1 in order of first occurrence."""
+    """(word, n, wid) of words that occur more than ``above`` times; ids from 1 in order of first occurrence (document ids are numbers or times)."""
     counted = tokens.groupBy(word).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(doc).alias("d"), F.col(position).alias("p"))).alias("first")).where(F.col("n") > above)
-    # One row a word: the only global order, over the vocabulary alone.
-    return counted.withColumn("wid", F.row_number().over(Window.orderBy("first.d", "first.p"))).select(F.col(word).alias("word"), "n", F.col("wid").cast("long"))
+    numbered = number_rows(counted.select(F.col(word).alias("word"), "n", F.col("first.d").alias("__d"), F.col("first.p").alias("__p")), "__d", ties=["__p"], out="wid")
+    return numbered.select("word", "n", F.col("wid").cast("long"))
 
 
 def encode(tokens: DataFrame, vocab: DataFrame, doc: str, position: str, word: str) -> DataFrame:

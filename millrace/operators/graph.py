@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import collatz_step
+from ..functions.ordered import number_rows
 from ..storage import settle
 
 
@@ -110,7 +111,9 @@ def pagerank(edges: DataFrame, rounds: int = 10, src: str = "src", dst: str = "d
     Every rank starts at ``base`` and is ``base`` plus what the node is sent. An edge given twice counts twice.
     """
     counted = edges.groupBy(F.col(src).alias("s"), F.col(dst).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    out = settle(counted.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("d")) - 1).withColumn("degree", F.count(F.lit(1)).over(Window.partitionBy("s"))))
+    degrees = counted.groupBy(F.col("s").alias("of")).agg(F.count(F.lit(1)).alias("degree"))
+    placed = number_rows(counted, "d", by=["s"], out="k").withColumn("k", F.col("k") - 1)
+    out = settle(placed.join(degrees, F.col("s").eqNullSafe(F.col("of"))).drop("of"))
     nodes = out.select(F.col("s").alias("node")).union(out.select("d")).distinct()
     ranks = settle(nodes.select("node", F.lit(base).cast("long").alias("rank")))
     spread = F.floor(F.col("rank") * 5 / 6).cast("long")

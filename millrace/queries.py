@@ -20,6 +20,8 @@ from .operators import timeops as T
 from .plans import placement as P
 from .plans import workflow as W
 from .sources import event_log, inputs
+from .storage import streamed
+from .streaming import stateful, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -698,6 +700,65 @@ def ordered_fold(spark, sf):
     return folds.fold_ordered(rows, ["o_orderpriority"], ["o_orderkey"], lambda: 0, lambda s, r: (s + 1, []), "o_orderpriority string, n long", finish=lambda key, s: [{"o_orderpriority": key[0], "n": s}])
 
 
+# Streams: the same operators over the event table as an unbounded input.
+
+
+def _event_stream(spark, sf):
+    rows = table(spark, sf, "events")
+    stream = inputs.file_source(spark, f"{sf}/events.parquet", rows.schema)
+    return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+
+
+@query("SELECT user_id, sum(cents)::BIGINT AS total, min(event_id) AS first FROM (SELECT user_id, event_id, cents, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 5 AS chunk FROM (SELECT *, " + CENTS_SQL + " AS cents FROM events)) GROUP BY user_id, chunk HAVING count(*) = 5")
+def stream_agg_count_bounded(spark, sf):
+    rows = _event_stream(spark, sf).select("user_id", "event_id", "cents")
+    agg = lambda key, f: {"user_id": key[0], "total": int(f["cents"].sum()), "first": int(f["event_id"].min())}
+    return streamed(stateful.aggregate_stream(rows, ["user_id"], 5, ["event_id"], agg, "user_id long, total long, first long"), "stream-agg")
+
+
+@query(FOLD_SQL)
+def stream_fold_until(spark, sf):
+    rows = _event_stream(spark, sf).select("user_id", "event_id", F.abs("cents").alias("cents"))
+
+    def step(state, row):
+        total = int(state[0] + row["cents"])
+        return (None, [{"user_id": int(row["user_id"]), "until": int(row["event_id"]), "total": total}]) if total >= 20000 else ((total,), [])
+
+    return streamed(stateful.fold_stream(rows, ["user_id"], ["event_id"], "held long", lambda: (0,), step, "user_id long, until long, total long"), "stream-fold")
+
+
+@query(EVENTS_SQL + "SELECT epoch, event_type, count(*)::BIGINT AS n, sum(cents)::BIGINT AS total FROM e WHERE epoch < (SELECT max(epoch) FROM e) GROUP BY 1, 2")
+def stream_agg_epoch(spark, sf):
+    """The last epoch stays open: nothing later has passed it."""
+    found = streams.timestamp_aggregate_stream(_event_stream(spark, sf), "ts", "1 day", "0 seconds", ["event_type"], n=F.count(F.lit(1)), total=F.sum("cents"))
+    day = F.datediff("epoch", F.lit("2024-01-01").cast("date")).cast("long")
+    return streamed(found, "stream-epochs").select(day.alias("epoch"), "event_type", "n", "total")
+
+
+@query("SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.ts = b.ts AND a.user_id = b.user_id")
+def stream_timestamp_join(spark, sf):
+    left = _event_stream(spark, sf).select("ts", "user_id", F.col("event_id").alias("a"))
+    right = _event_stream(spark, sf).select("ts", "user_id", F.col("event_id").alias("b"))
+    return streamed(streams.timestamp_join_stream(left, right, "ts", "1 hour", ["user_id"]).select("a", "b"), "stream-join")
+
+
+@query("SELECT DISTINCT date_trunc('hour', ts)::VARCHAR AS hour, user_id FROM events")
+def stream_distinct(spark, sf):
+    rows = _event_stream(spark, sf).select(F.date_trunc("hour", "ts").alias("hour"), "user_id")
+    found = streamed(streams.distinct_stream(rows, "hour", "40 days", "user_id"), "stream-distinct")
+    return found.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "user_id")
+
+
+@query("SELECT event_id, user_id FROM events")
+def capture_replay(spark, sf):
+    return streamed(_event_stream(spark, sf).select("event_id", "user_id"), "stream-log")
+
+
+@query("SELECT unnest(range(0, 100))::BIGINT AS value")
+def stream_pull_source(spark, sf):
+    return streamed(inputs.iterator_source(spark, 100, 30), "stream-pull").distinct()
+
+
 # Placement and workflows.
 
 # A worked plan. Latencies in ms, prices, requests a second, KB a message.

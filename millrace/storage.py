@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; sets a folder of its own only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def streamed(df: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what is there now and reads back what it wrote to the shared folder."""
+    spark, root = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/rows")
 
 
 def settle(df: DataFrame) -> DataFrame:
