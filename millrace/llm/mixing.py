@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3.0
 #: Hex digits of the hash that each level of buckets uses: 4096 buckets a source and level.
 DIGITS, LEVELS = 3, 4
+#: Sources whose plan (some hundred bytes each) is broadcast at most.
+BROADCAST_SOURCES = 50_000
 
 
 def size_and_hash() -> tuple[Column, Column]:
@@ -87,7 +89,10 @@ def planned(scratch: Scratch, sized: DataFrame, weights: tuple[int, ...], most:
     """(of, source_size, target, passes, cut, rest, tied): one row a source."""
     goals = scratch.save(targets(sized, weights, most), "targets")
     cuts = thresholds(scratch, sized, goals)
-    return goals.join(cuts.withColumnRenamed("source", "s"), goals["source"].eqNullSafe(F.col("s"))).select(F.col("source").alias("of"), "source_size", "target", "passes", "cut", "rest", "tied")
+    plan = goals.join(cuts.withColumnRenamed("source", "s"), goals["source"].eqNullSafe(F.col("s"))).select(F.col("source").alias("of"), "source_size", "target", "passes", "cut", "rest", "tied")
+    plan = scratch.save(plan, "plan")
+    # Documents stay where they are if the plan is small; with very many sources both sides are dealt by source.
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
 
 
 def taken() -> Column:
