@@ -756,7 +756,7 @@ def capture_replay(spark, sf):
 
 @query("SELECT unnest(range(0, 100))::BIGINT AS value")
 def stream_pull_source(spark, sf):
-    return streamed(inputs.iterator_source(spark, 100, 30), "stream-pull").distinct()
+    return streamed(inputs.iterator_source(spark, 100, 100), "stream-pull").distinct()
 
 
 # Placement and workflows.

@@ -145,8 +145,14 @@ def rate_source(spark: SparkSession, rows_per_second: int) -> DataFrame:
 
 
 def file_source(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """The Parquet files of a folder, or one file."""
     reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(at):
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return reader.parquet(path)
 
 
 def kafka_options(servers: str, topic: str, *, starting: str = "earliest", per_trigger: int | None = None) -> dict[str, str]:
