@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -230,11 +231,24 @@ def hex16(fp: str):
 def deduplicate(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that are the first of their class; of repeated rows of one id, one.
 
-    A row whose id is null can't be told from others and goes.
+    What goes is the smaller part, so its ids are joined, not those that stay. Ids that occur more than
+    once are settled by id and fingerprint. A row whose id is null can't be told from others and goes.
     """
-    classes = near_duplicates(spark, docs, doc_id, text)
-    kept = Scratch(spark, "simhash-kept").save(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__copies")), "ids")
-    once = docs.join(kept.where("__copies = 1"), docs[doc_id] == F.col("__kept"), "left_semi")
-    if kept.where("__copies > 1").isEmpty():
-        return once
-    return once.unionByName(docs.join(kept.where("__copies > 1"), docs[doc_id] == F.col("__kept"), "left_semi").dropDuplicates([doc_id]))
+    scratch = Scratch(spark, "simhash-kept")
+    classes = scratch.save(near_duplicates(spark, docs, doc_id, text), "classes")
+    gone = scratch.save(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "gone")
+    twice = scratch.save(classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__twice"), "twice")
+    known = docs.where(docs[doc_id].isNotNull())
+    if twice.isEmpty():
+        return known.join(gone, known[doc_id] == gone["__gone"], "left_anti")
+    once = known.join(twice, known[doc_id] == twice["__twice"], "left_anti")
+    once = once.join(gone, once[doc_id] == gone["__gone"], "left_anti")
+
+    @F.pandas_udf("long")
+    def marked(column: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t.encode() if t is not None else None) for t in column], dtype=np.uint64).view(np.int64))
+
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__twice"), F.col("fp").alias("__fp")).join(twice, "__twice").distinct()
+    some = known.join(twice, known[doc_id] == twice["__twice"], "left_semi").withColumn("__own", marked(F.col(text)))
+    some = some.join(first, (some[doc_id] == first["__twice"]) & (some["__own"] == first["__fp"]), "left_semi").drop("__own")
+    return once.unionByName(some.dropDuplicates([doc_id]))

@@ -106,7 +106,7 @@ def test_groups_cover_all_near_cells():
                 assert all((min(g, k), max(g, k)) in set(pairs) for g in held[a] for k in held[b])
 
 
-@pytest.mark.parametrize("extra", [[], [(1, "a b c d e")]])
+@pytest.mark.parametrize("extra", [[], [(1, "a b c d e")], [(3, "a b c d e"), (2, "a b c d e")]])
 def test_deduplicate_keeps_one_of_each_class(spark, extra):
     rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "other words of another text"), (None, "a b c d e"), *extra]
     kept = S.deduplicate(spark, spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, root string"))
