@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import pieces, small_batches
 
 #: Keys in the sample that ranges are cut by, for each range.
 SAMPLE = 20
@@ -53,6 +53,7 @@ NAMES = {
     "disqus", "footer", "header", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pager", "pagination", "popup",
     "promo", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+QUALIFIED = {"no", "with", "without", "has"}  # of a whole page: "no-sidebar"
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>", re.S)
@@ -73,7 +74,7 @@ def _outside(name: str, attributes: str, within: bool) -> bool:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and not NAMES.isdisjoint(NAME.findall(value)):
+        if key in ("class", "id") and any(not NAMES.isdisjoint(parts := set(NAME.findall(name))) and not (parts & QUALIFIED or within and parts & NAMES == {"header"}) for name in value.split()):
             return True
         if key == "role" and value.strip() in ROLES or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -264,5 +265,6 @@ def extract(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url
         if out:
             yield packed(out)
 
+    small_batches(spark)
     spread = keyed.mapInArrow(pack, PACKED).repartitionById(ranges, "part")
     return spread.sortWithinPartitions("part", "host", "path", F.col("page_id").asc_nulls_first()).drop("part").select("page_id", "url", "host", "path", "marks", "states", "body").mapInArrow(align, RESULT)

@@ -55,6 +55,11 @@ def test_odd_markup():
     assert text(f"<article><p>{long}</p></article>") == long.strip()
 
 
+def test_names_of_whole_pages_and_titles():
+    assert text('<div class="page no-sidebar"><p>x</p><div class="right sidebar-box">y</div></div>') == "x"
+    assert text('<article><div class="post-header"><h1>t</h1></div><p>x</p><div class="share-links">s</div></article>') == "t\nx"
+
+
 def page(body):
     return f"<html><body><div>Template head</div>{body}<div>Template foot</div></body></html>"
 
