@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_text
+from .common import keep_rows, map_text, small_batches
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
 SMOOTH = 0.1
 #: Documents of each language that the model is fitted on at most (those of the least id hashes).
 FIT_ROWS = 4_000
-#: N-grams that are gathered at once.
+#: N-grams that are gathered at once, and characters of a long text.
 BLOCK = 1 << 18
 UNKNOWN = "und"
 
@@ -41,46 +41,62 @@ def _letters() -> np.ndarray:
     return out
 
 
+def _hashed(chars: np.ndarray, n: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the first ``starts`` places begin an n-gram without two spaces in a row, the buckets of those that do)."""
+    size = max(0, min(len(chars) - n + 1, starts))
+    space = chars == 32
+    double = space[:-1] & space[1:]
+    value, good = np.full(size, n, np.uint32), np.ones(size, bool)
+    for k in range(n):
+        value = value * np.uint32(0x01000193) ^ chars[k : k + size]
+        if k:
+            good &= ~double[k - 1 : k - 1 + size]
+    return good, ((value[good] * np.uint32(2654435761)) >> np.uint32(32 - 16)).astype(np.int64)
+
+
+def _chars(text: str) -> np.ndarray:
+    return _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+
+
 def grams(batch: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, number of the text) of every n-gram, order by order, and which texts have a letter."""
-    joined = "\n\n".join(t or "" for t in batch) + "\n\n"
-    chars = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
-    sizes = np.array([len(t or "") + 2 for t in batch])
+    chars = _chars("\n" + "".join(f"{t or ''}\n\n" for t in batch))
     # A text owns the separator before it and the first one after it.
-    owner = np.repeat(np.arange(len(batch)), sizes)
-    owner = np.concatenate([owner[1:], owner[-1:]]) if len(owner) else owner
-    space = chars == 32
-    has = np.bincount(owner[~space], minlength=len(batch)) > 0
-    double = space[:-1] & space[1:]
-    buckets, owners = [], []
-    for n in ORDERS:
-        size = len(chars) - n + 1
-        if size <= 0:
-            continue
-        value = np.full(size, n, np.uint32)
-        bad = np.zeros(size, bool)
-        for k in range(n):
-            value = value * np.uint32(0x01000193) ^ chars[k : k + size]
-            if k:
-                bad |= double[k - 1 : k - 1 + size]
-        good = ~bad
-        buckets.append(((value[good] * np.uint32(2654435761)) >> np.uint32(32 - 16)).astype(np.int64))
-        owners.append(owner[:size][good])
-    return (np.concatenate(buckets), np.concatenate(owners), has) if buckets else (np.zeros(0, np.int64), np.zeros(0, np.int64), has)
+    owner = np.repeat(np.arange(len(batch)), [len(t or "") + 2 for t in batch])
+    owner = np.append(owner, owner[-1:])
+    has = np.bincount(owner[chars != 32], minlength=len(batch)) > 0
+    found = [_hashed(chars, n, len(chars)) for n in ORDERS]
+    return np.concatenate([b for _, b in found]), np.concatenate([owner[: len(good)][good] for good, _ in found]), has
+
+
+def _long_score(text: str, weights: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The same for one long text, a block of characters at a time."""
+    out, has, most = np.zeros(weights.shape[1]), False, max(ORDERS)
+    padded = len(text) + 2
+    for at in range(0, padded, BLOCK):
+        stop = min(at + BLOCK + most - 1, padded)
+        part = ("\n" if at == 0 else "") + text[max(at - 1, 0) : stop - 1] + ("\n" if stop == padded else "")
+        chars = _chars(part)
+        has = has or bool((chars != 32).any())
+        for n in ORDERS:
+            _, bucket = _hashed(chars, n, BLOCK)
+            out += weights[bucket].sum(axis=0, dtype=np.float64)
+    return out, has
 
 
 def score(batch: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log-likelihoods by text and language, which texts have a letter)."""
-    bucket, owner, has = grams(batch)
+    long = [k for k, t in enumerate(batch) if t is not None and len(t) > BLOCK]
+    bucket, owner, has = grams([None if t is not None and len(t) > BLOCK else t for t in batch])
     out = np.zeros((len(batch), weights.shape[1]))
     order_cuts = np.flatnonzero(np.diff(owner) < 0) + 1  # owners ascend within an order
     cuts = np.unique(np.concatenate([[0], order_cuts, np.arange(0, len(owner), BLOCK), [len(owner)]]))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        if a == b:
-            continue
         own = owner[a:b]
         first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
         out[own[first]] += np.add.reduceat(weights[bucket[a:b]], first, axis=0)
+    for k in long:
+        out[k], has[k] = _long_score(batch[k], weights)
     return out, has
 
 
@@ -106,6 +122,7 @@ def fit(docs: DataFrame, use: Column, rows: int = FIT_ROWS, doc_id: str = "doc_i
                 np.add(table, np.bincount(language[owner] * BUCKETS + bucket, minlength=table.size).reshape(table.shape), out=table)
         yield pa.RecordBatch.from_arrays([pa.array([table.astype("<f4").tobytes()], pa.binary())], ["counts"])
 
+    small_batches(docs.sparkSession)
     counts = sum(np.frombuffer(r.counts, "<f4").astype(float) for r in sample.mapInArrow(count, "counts binary").collect())
     counts = counts.reshape(len(languages), BUCKETS) + SMOOTH
     return languages, np.ascontiguousarray(np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32))

@@ -42,7 +42,7 @@ def bucket(gram):
 def test_scores_match_plain_form():
     rng = random.Random(2)
     weights = np.random.default_rng(1).normal(size=(L.BUCKETS, 3)).astype(np.float32)
-    texts = [None, "", "a", "!!", "Ab c", "x  y", "\n", "İstanbul", "12 ab 3", *("".join(rng.choice("ab cÉ\n.") for _ in range(rng.randrange(40))) for _ in range(100))]
+    texts = ["first one", None, "", "a", "!!", "Ab c", "x  y", "\n", "İstanbul", "12 ab 3", *("".join(rng.choice("ab cÉ\n.") for _ in range(rng.randrange(40))) for _ in range(100))]
     got, has = L.score(texts, weights)
     for k, t in enumerate(texts):
         want = sum((weights[bucket(g)].astype(float) * n for g, n in plain_grams(t).items()), np.zeros(3))
@@ -54,8 +54,10 @@ def test_blocks_do_not_change_scores(monkeypatch):
     weights = np.random.default_rng(1).normal(size=(L.BUCKETS, 3)).astype(np.float32)
     texts = [t for _, t, _ in rows(50, 3)]
     whole = L.score(texts, weights)[0]
-    monkeypatch.setattr(L, "BLOCK", 7)
-    assert np.allclose(whole, L.score(texts, weights)[0], atol=1e-2)
+    for block in (7, 1, 50):
+        monkeypatch.setattr(L, "BLOCK", block)
+        got, has = L.score([*texts, None, "1 2 3 4 5 6 7 8 9"], weights)
+        assert np.allclose(whole, got[:-2], atol=1e-2) and has.tolist() == [True] * len(texts) + [False, False]
 
 
 def test_held_out_accuracy_and_odd_texts(spark):
