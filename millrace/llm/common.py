@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch at most: long texts in flight must stay small on both sides.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS, unless they are smaller. The setting counts when a plan runs, so it stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at a task's end a worker, which lives on, gives back what it has freed."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Written tables in the shared folder. They cut lineage and outlive any executor.
 
@@ -95,7 +118,8 @@ def map_text(df: DataFrame, text: str, schema: str, fn: Callable[[pa.RecordBatch
             for part in pieces(batch, text, limit):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(fn(part), arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def keep_rows(df: DataFrame, text: str, keep: Callable[[pa.Array], list[bool]], limit: int = 8 << 20) -> DataFrame:
@@ -106,4 +130,5 @@ def keep_rows(df: DataFrame, text: str, keep: Callable[[pa.Array], list[bool]],
             for part in pieces(batch, text, limit):
                 yield part.filter(pa.array(keep(part.column(part.schema.get_field_index(text))), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: released(run(batches)), df.schema)

@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces
+from .common import Scratch, pieces, released, small_batches
 from .perfect_hash import PerfectHash, marks
 
 #: Ids in a shard, unless one document has more.
 SHARD_IDS = 1 << 20
 #: Pieces whose ids a worker keeps; others are encoded again when they come.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 
 SHARD = "part int, seq int, n_docs int, n_tokens long, first_key long, last_key long, width int, ids binary, index binary, marks binary, ordinals binary, keys binary, known binary, ends binary"
 
@@ -175,7 +175,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id
             return pa.RecordBatch.from_pylist([shard_row(part, seq, keys, payloads, enc.width)], schema=arrow)
 
         for batch in batches:
-            for piece in pieces(batch, "text", 8 << 20):
+            for piece in pieces(batch, "text", 3 << 20):
                 ids = enc.encode([t or "" for t in piece.column(1).to_pylist()])
                 for k, p in zip(piece.column(0).to_pylist(), ids, strict=True):
                     if keys and held + len(p) // enc.width + 1 > shard_ids:
@@ -187,7 +187,8 @@ def write(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id
         if keys:
             yield made()
 
-    ordered.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
+    small_batches(spark)
+    ordered.mapInArrow(lambda batches: released(run(batches)), SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
 
 
 def starts(shards: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                     pa.array(shard.keys, pa.int64(), mask=~shard.known), pa.array([base + a for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()), pa.array(crc, pa.int64()),
                 ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(lambda batches: released(run(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:

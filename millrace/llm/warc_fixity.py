@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces
+from .common import Scratch, pieces, small_batches
 
 BLOCK_BYTES = 4 << 20
 FANOUT = 16
@@ -84,6 +84,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         if held:
             yield made()
 
+    small_batches(pages.sparkSession)
     own.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
