@@ -27,7 +27,9 @@ def test_encoder_equals_library(plain):
     enc = T.Encoder(T.vocabulary())
     rng = random.Random(4)
     signs = [chr(c) for c in (*range(32, 127), 9, 10, 11, 12, 13, 0x85, 0xA0, *range(0xA1, 0x250))] + [" ", " ", "'", "\n", "s", "t"] * 20
-    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(signs) for _ in range(rng.randrange(200))) for _ in range(400)]
+    texts = [t or "" for t in TEXTS] + [" lead", "trail ", "a\nb c\nd", "a \nb", "one two\nthree's four 日本 語,\nсловo ok", "x\u3000y z", "a\x1c b", "it's 'tis\n's 's\n'", "a b" * 50]
+    texts += ["".join(rng.choice(["the", "Über", "x9", "$$", "日", "'s", "."]) + rng.choice([" ", " ", "\n", ""]) for _ in range(rng.randrange(1, 60))).strip() for _ in range(300)]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(200))) for _ in range(400)]
     for t, packed in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(packed, "<u2").tolist() == plain(t), repr(t)
 
