@@ -211,14 +211,19 @@ def stars(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def members(spark: SparkSession, scratch: Scratch, marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, first, root): of each distinct fingerprint the least id and the class. ``marked`` is a written table (doc_id, fp)."""
+    fps = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    edges = scratch.save(links(spark, fps.select("fp"), radius), "links")
+    root = stars(scratch, edges)
+    return fps.join(root, fps["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``."""
     scratch = Scratch(spark, "simhash")
     marked = scratch.save(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    fps = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    edges = scratch.save(links(spark, fps.select("fp"), radius), "links")
-    root = stars(scratch, edges)
-    member = fps.join(root, fps["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    member = members(spark, scratch, marked, radius)
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = member.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -229,26 +234,31 @@ def hex16(fp: str):
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) that are the first of their class; of repeated rows of one id, one.
+    """One row of ``docs`` (all columns) of each class.
 
-    What goes is the smaller part, so its ids are joined, not those that stay. Ids that occur more than
-    once are settled by id and fingerprint. A row whose id is null can't be told from others and goes.
+    It is the row of the least id (a null id comes last), then of the least fingerprint, text and other
+    columns. What goes is the smaller part, so its ids are joined, not those that stay. Rows whose id is
+    null or occurs more than once are settled by id and fingerprint, and folded before they move.
     """
     scratch = Scratch(spark, "simhash-kept")
-    classes = scratch.save(near_duplicates(spark, docs, doc_id, text), "classes")
-    gone = scratch.save(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "gone")
-    twice = scratch.save(classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__twice"), "twice")
-    known = docs.where(docs[doc_id].isNotNull())
-    if twice.isEmpty():
-        return known.join(gone, known[doc_id] == gone["__gone"], "left_anti")
-    once = known.join(twice, known[doc_id] == twice["__twice"], "left_anti")
+    marked = scratch.save(fingerprints(docs, doc_id, text), "fingerprints")
+    least = members(spark, scratch, marked).groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("least"))
+    stay = scratch.save(least.select(F.col("least.first").alias("__id"), F.col("least.fp").alias("__fp")), "stay")
+    known = marked.where("doc_id is not null")
+    gone = scratch.save(known.join(stay, (known["doc_id"] == stay["__id"]) & (known["fp"] == stay["__fp"]), "left_anti").select(F.col("doc_id").alias("__gone")), "gone")
+    vague = scratch.save(marked.groupBy(F.col("doc_id").alias("__vague")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __vague is null").select("__vague"), "vague")
+    if vague.isEmpty():
+        return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    once = docs.where(docs[doc_id].isNotNull())
+    once = once.join(vague, once[doc_id] == vague["__vague"], "left_anti")
     once = once.join(gone, once[doc_id] == gone["__gone"], "left_anti")
 
     @F.pandas_udf("long")
-    def marked(column: pd.Series) -> pd.Series:
+    def own(column: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t.encode() if t is not None else None) for t in column], dtype=np.uint64).view(np.int64))
 
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__twice"), F.col("fp").alias("__fp")).join(twice, "__twice").distinct()
-    some = known.join(twice, known[doc_id] == twice["__twice"], "left_semi").withColumn("__own", marked(F.col(text)))
-    some = some.join(first, (some[doc_id] == first["__twice"]) & (some["__own"] == first["__fp"]), "left_semi").drop("__own")
-    return once.unionByName(some.dropDuplicates([doc_id]))
+    some = docs.join(vague, docs[doc_id] == vague["__vague"], "left_semi").unionByName(docs.where(docs[doc_id].isNull()))
+    order = F.struct(F.col(text), F.to_json(F.struct(*(c for c in docs.columns if c != text))))
+    some = some.withColumn("__own", own(F.col(text))).groupBy(F.col(doc_id).alias("__key"), "__own").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    some = some.join(stay, (some["__own"] == stay["__fp"]) & some["__key"].eqNullSafe(stay["__id"]), "left_semi")
+    return once.unionByName(some.select("__row.*"))

@@ -112,3 +112,13 @@ def test_deduplicate_keeps_one_of_each_class(spark, extra):
     kept = S.deduplicate(spark, spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, root string"))
     assert kept.columns == ["doc_id", "text", "root"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_deduplicate_keeps_one_of_each_class_whatever_its_ids(spark):
+    own = ["lonely words stand here all by themselves", "quite another text about rivers and stones", "a third one that nobody else has written", "the fourth is on ships and their captains"]
+    rows = [(None, own[0], "a"), (7, own[1], "b"), (7, own[2], "c"), (None, own[3], "e"), (None, own[3], "d"), (9, own[2], "f"), (2, "a b c d e", "g"), (None, "a b c d e", "h"), (2, "a b c d e", "g"), (11, "plain words once", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    kept = S.deduplicate(spark, df)
+    assert kept.columns == df.columns
+    want = [(None, own[0], "a"), (7, own[1], "b"), (7, own[2], "c"), (None, own[3], "d"), (2, "a b c d e", "g"), (11, "plain words once", "i")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
