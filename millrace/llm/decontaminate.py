@@ -13,7 +13,8 @@ Words are lower-cased (A-Z) and freed of punctuation. The index goes out in part
 larger benchmark means more passes, not a larger broadcast.
 
 Cases: a null or empty text is clean; null or empty items are left out; equal items are each reported; an
-item of fewer than five words is one shingle; without items all is clean; repeated rows each get a row; an
+item of fewer than five words is one shingle, which only a text of the same words has, unless ``short`` asks
+for it anywhere in a text; an item with a null id can't be reported, but removes documents; without items all is clean; repeated rows each get a row; an
 empty table gives an empty result; columns beside the id and text columns are ignored.
 """
 
@@ -135,22 +136,27 @@ class Index:
         s, a = self.shingles[item], self.answers[item]
         return len(s & own) >= OVERLAP * len(s) and len(a & words) >= ANSWER_OVERLAP * len(a)
 
-    def search(self, docs: list[bytes | None]) -> list[list[tuple[int, float]]]:
-        """For each text, (item id, score) of the items that it holds."""
+    def search(self, docs: list[bytes | None], short: bool = False) -> list[list[tuple[int, float]]]:
+        """For each text, (item id, score) of the items that it holds; with ``short``, items of fewer words than a shingle too, word for word anywhere."""
         split = [words_of(d) for d in docs]
         out: list[list[tuple[int, float]]] = [[] for _ in docs]
-        last, own, words = -1, set(), set()
+        last, own, words, run = -1, set(), set(), b""
         for d, i, score in self.retrieve(split):
             if d != last:
-                last, own, words = d, shingles(split[d]), set(split[d])
-            if self.verified(i, own, words):
+                last, own, words, run = d, shingles(split[d]), set(split[d]), b" %s " % b" ".join(split[d]) if short else b""
+            if short and len(self.words[i]) < SHINGLE:
+                held = b" %s " % b" ".join(self.words[i]) in run
+            else:
+                held = self.verified(i, own, words)
+            if held:
                 out[d].append((int(self.ids[i]), score))
         return out
 
 
-def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES) -> list[Index]:
-    """The benchmark in as many indexes of bounded text as it takes."""
-    own = items.select(F.col(item_id).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
+def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES, nameless: bool = False) -> list[Index]:
+    """The benchmark in as many indexes of bounded text as it takes; with ``nameless``, items with a null id too (as 0)."""
+    own = items.select(F.col(item_id).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
+    own = own.fillna(0, "k") if nameless else own.where("k is not null")
     size = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = size // part_bytes + 1
     out = []
@@ -174,13 +180,13 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str =
     return map_text(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", "doc_id long, items array<long>, score double", columns, limit=2 << 20)
 
 
-def remove_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents, with all their columns, that hold no item."""
-    sent = [spark.sparkContext.broadcast(x) for x in indexes(items)]
+def remove_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text", short: bool = False) -> DataFrame:
+    """The documents, with all their columns, that hold no item. ``short``: as in Index.search."""
+    sent = [spark.sparkContext.broadcast(x) for x in indexes(items, nameless=True)]
 
     def clean(column: pa.Array) -> list[bool]:
         raw = texts(column)
-        held = [any(f) for f in zip(*(x.value.search(raw) for x in sent))] if sent else [False] * len(raw)
+        held = [any(f) for f in zip(*(x.value.search(raw, short) for x in sent))] if sent else [False] * len(raw)
         return [not h for h in held]
 
     return keep_rows(docs, text, clean, limit=2 << 20)

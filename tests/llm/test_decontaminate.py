@@ -1,6 +1,8 @@
 import random
 
+import corpus_pipeline as P
 from millrace.llm import decontaminate as D
+from millrace.llm.common import Scratch
 
 
 def plain(docs, items):
@@ -71,3 +73,18 @@ def test_index_in_parts(spark):
     bench = spark.createDataFrame([(k, t.decode()) for k, t in items], "item_id long, text string")
     parts = D.indexes(bench, part_bytes=500)
     assert len(parts) > 3 and sorted(k for p in parts for k in p.ids.tolist()) == [k for k, t in items if D.words_of(t)]
+
+
+def test_short_and_nameless_items_remove_documents(spark):
+    filler = " ".join(f"f{i}" for i in range(40))
+    docs = [(1, f"{filler} Red, green blue! {filler}"), (2, f"{filler} green red blue {filler}"), (3, "red green blue"), (4, "so red green blue"), (5, f"{filler} one two three four five six {filler}"), (6, filler), (7, f"{filler} redgreen blue")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "red green blue"), (None, "one two three four five six"), (None, None)], "item_id long, text string")
+    assert sorted(r.doc_id for r in D.remove_leaks(spark, df, bench, short=True).collect()) == [2, 6, 7]
+    assert sorted(r.doc_id for r in P.drop_leaks(spark, df, saved(spark, bench)).collect()) == [2, 6, 7]
+
+
+def saved(spark, bench):
+    folder = Scratch(spark, "bench").root
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    return folder
