@@ -1,8 +1,8 @@
 """Main text of web pages by differencing nearest-URL pages, checked against the markup.
 
-Pages are ordered by host, URL path and id; each is paired with the neighbour of its host whose path
-shares the longer beginning, their text lines are aligned by a longest common subsequence, and shared
-lines are taken for template. Differencing alone can't give the right text: articles that hold the same
+Pages are ordered by host, URL path, id, URL and lines. A run of pages with equal lines is paired with one of
+its host's different pages next to it, the one before it or the one after it, by the longer shared beginning of
+the paths; their text lines are aligned by a longest common subsequence, and shared lines are taken for template. Differencing alone can't give the right text: articles that hold the same
 paragraph would lose it, and an advert or menu that the neighbour doesn't have would stay. So the markup
 has the last word where it is plain: a line within an article element stays, a line within a menu,
 footer, advert, form, comment list or the like goes, and the alignment decides all other lines (pages
@@ -10,12 +10,12 @@ without an article element, or with text beside it only if nothing is in it).
 
 Pages move once, packed, to the range of keys that they belong to; ranges are cut at quantiles of a
 bounded sample of keys, so a host with a third of all pages spans many. A page at the edge of a
-range has its neighbour on one side only. One page and its neighbours are in memory at a time.
+range has its neighbour on one side only. One run and its neighbours are in memory at a time: the lines once,
+and the id, URL and states of each of its pages.
 
 Cases: a null or empty page has the empty text; a page without a neighbour in its host shares nothing; a
-null or odd URL belongs to the host of the empty name; repeated rows each get a row (and, being
-neighbours, differ in nothing: lines whose fate only the alignment could decide are then all shared, so a
-neighbour with the same page in it is passed over); a null id keeps its row; an empty table gives an empty
+null or odd URL belongs to the host of the empty name; repeated rows each get a row (and, being one run,
+the same neighbour, so that equal pages side by side have equal texts); a null id keeps its row; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+from collections.abc import Iterable, Iterator
 from os.path import commonprefix
 
 import numpy as np
@@ -199,6 +200,23 @@ def main_text(page: list[tuple[str, int]], shared: list[int]) -> tuple[str, int,
     return "\n".join(kept), sum(page[i][1] == IN for i in template), sum(s == GONE and i not in template for i, (_, s) in enumerate(page))
 
 
+def runs(rows: Iterable[dict]) -> Iterator[tuple[dict, tuple | None, tuple | None]]:
+    """Each run of pages of one host with equal marks, and (path, marks) of the host's page before it and after it."""
+    before = run = None
+    for r in rows:
+        near = run is not None and r["host"] == run["host"]
+        if near and r["marks"] == run["marks"]:
+            run["last"] = r["path"]
+        else:
+            if run:
+                yield run, before, (r["path"], r["marks"]) if near else None
+            before = (run["last"], run["marks"]) if near else None
+            run = {"host": r["host"], "marks": r["marks"], "body": r["body"], "first": r["path"], "last": r["path"], "pages": []}
+        run["pages"].append((r["page_id"], r["url"], r["states"]))
+    if run:
+        yield run, before, None
+
+
 PACKED = "page_id long, url string, host string, path string, part int, marks binary, states binary, body binary"
 RESULT = "page_id long, url string, text string, n_chars long, n_lines int, n_shared int, n_restored int, n_removed int"
 
@@ -236,35 +254,31 @@ def extract(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url
         def rows():
             for batch in batches:
                 for i in range(batch.num_rows):
-                    r = batch.slice(i, 1).to_pylist()[0]
-                    r["marks"] = np.frombuffer(r["marks"], "<u8").tolist()
-                    yield r
-
-        def judged(before, row, after):
-            near = [n for n in (before, after) if n is not None and n["host"] == row["host"] and n["marks"] != row["marks"]]
-            other = max(near, key=lambda n: len(commonprefix([n["path"], row["path"]])), default=None)
-            shared = common_lines(row["marks"], other["marks"]) if other else []
-            body = expand(row["body"]).decode() if row["marks"] else ""
-            text, restored, removed = main_text(list(zip(body.split("\n"), row["states"], strict=True)) if body else [], shared)
-            return row["page_id"], row["url"], text, len(text), len(row["marks"]), len(shared), restored, removed
+                    yield batch.slice(i, 1).to_pylist()[0]
+
+        def judged(run, before, after):
+            near = [(len(commonprefix([n[0], path])), n[1]) for n, path in ((before, run["first"]), (after, run["last"])) if n]
+            marks = np.frombuffer(run["marks"], "<u8").tolist()
+            shared = common_lines(marks, np.frombuffer(max(near, key=lambda n: n[0])[1], "<u8").tolist()) if near else []
+            body, last = expand(run["body"]).decode().split("\n") if marks else [], None
+            for page_id, url, states in run["pages"]:
+                if states != last:
+                    last, (text, restored, removed) = states, main_text(list(zip(body, states, strict=True)), shared)
+                yield page_id, url, text, len(text), len(marks), len(shared), restored, removed
 
         def packed(out):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.int32()] * 4)))], ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_restored", "n_removed"])
 
-        before = row = None
         out = []
-        for after in rows():
-            if row is not None:
-                out.append(judged(before, row, after))
-            before, row = row, after
-            if sum(len(o[2]) for o in out[-64:]) > 1 << 22 or len(out) >= 1000:
-                yield packed(out)
-                out = []
-        if row is not None:
-            out.append(judged(before, row, None))
+        for found in runs(rows()):
+            for row in judged(*found):
+                out.append(row)
+                if sum(len(o[2]) for o in out[-64:]) > 1 << 22 or len(out) >= 1000:
+                    yield packed(out)
+                    out = []
         if out:
             yield packed(out)
 
     small_batches(spark)
     spread = keyed.mapInArrow(pack, PACKED).repartitionById(ranges, "part")
-    return spread.sortWithinPartitions("part", "host", "path", F.col("page_id").asc_nulls_first()).drop("part").select("page_id", "url", "host", "path", "marks", "states", "body").mapInArrow(align, RESULT)
+    return spread.sortWithinPartitions("part", "host", "path", F.col("page_id").asc_nulls_first(), "url", "marks").drop("part").select("page_id", "url", "host", "path", "marks", "states", "body").mapInArrow(align, RESULT)

@@ -81,3 +81,9 @@ def test_repeated_rows_and_empty(spark):
     got = H.extract(spark, spark.createDataFrame(same, "page_id long, url string, html string").coalesce(1)).collect()
     assert len(got) == 4
     assert H.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_runs_of_equal_pages_have_the_same_neighbours():
+    rows = [{"host": h, "path": p, "marks": m, "page_id": k, "url": "", "states": b"", "body": b""} for k, (h, p, m) in enumerate([("a", "/1", b"x"), ("a", "/1", b"y"), ("a", "/2", b"y"), ("a", "/3", b"y"), ("a", "/4", b"z"), ("b", "/", b"z"), ("b", "/", b"z")])]
+    got = [([p[0] for p in run["pages"]], run["first"], run["last"], before, after) for run, before, after in H.runs(rows)]
+    assert got == [([0], "/1", "/1", None, ("/1", b"y")), ([1, 2, 3], "/1", "/3", ("/1", b"x"), ("/4", b"z")), ([4], "/4", "/4", ("/3", b"y"), None), ([5, 6], "/", "/", None, None)]
