@@ -9,8 +9,8 @@ footer, advert, form, comment list or the like goes, and the alignment decides a
 without an article element, or with text beside it only if nothing is in it).
 
 Pages move once, packed, to the range of keys that they belong to; ranges are cut at quantiles of a
-bounded sample of keys, so a host with a third of all pages spans many. A page at the edge of a
-range has its neighbour on one side only. One run and its neighbours are in memory at a time: the lines once,
+bounded sample of keys, so a host with a third of all pages spans many. What lies beyond the edges of each range
+is found first, by a pass that moves keys and lines' marks only, so that texts don't depend on the ranges. One run and its neighbours are in memory at a time: the lines once,
 and the id, URL and states of each of its pages.
 
 Cases: a null or empty page has the empty text; a page without a neighbour in its host shares nothing; a
@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import bisect
 import html
+import itertools
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 from os.path import commonprefix
 
@@ -200,9 +202,12 @@ def main_text(page: list[tuple[str, int]], shared: list[int]) -> tuple[str, int,
     return "\n".join(kept), sum(page[i][1] == IN for i in template), sum(s == GONE and i not in template for i, (_, s) in enumerate(page))
 
 
-def runs(rows: Iterable[dict]) -> Iterator[tuple[dict, tuple | None, tuple | None]]:
-    """Each run of pages of one host with equal marks, and (path, marks) of the host's page before it and after it."""
-    before = run = None
+def runs(rows: Iterable[dict], edge: tuple = (None, None, None, None)) -> Iterator[tuple[dict, tuple | None, tuple | None]]:
+    """Each run of pages of one host with equal marks, and (path, marks) of the host's page before it and after it.
+
+    ``edge`` is what ``edges`` has for the range of the rows.
+    """
+    (before, first, last, after), run = edge, None
     for r in rows:
         near = run is not None and r["host"] == run["host"]
         if near and r["marks"] == run["marks"]:
@@ -210,14 +215,36 @@ def runs(rows: Iterable[dict]) -> Iterator[tuple[dict, tuple | None, tuple | Non
         else:
             if run:
                 yield run, before, (r["path"], r["marks"]) if near else None
-            before = (run["last"], run["marks"]) if near else None
-            run = {"host": r["host"], "marks": r["marks"], "body": r["body"], "first": r["path"], "last": r["path"], "pages": []}
+                before, first = (run["last"], run["marks"]) if near else None, None
+            run = {"host": r["host"], "marks": r["marks"], "body": r["body"], "first": r["path"] if first is None else first, "last": r["path"], "pages": []}
         run["pages"].append((r["page_id"], r["url"], r["states"]))
     if run:
-        yield run, before, None
+        yield {**run, "last": run["last"] if last is None else last}, before, after
+
+
+def edges(ends: Iterable[tuple]) -> dict[int, tuple]:
+    """For each range: (path, marks) of the page before its first run, the first path of that run and the last one of its last run, wherever they are, and the page after.
+
+    ``ends`` has (part, host, marks, first path, last path) of the two first and two last runs of each range, in order.
+    """
+    whole: list[list] = []
+    at: dict[int, list[int]] = {}
+    for part, host, marks, first, last in ends:
+        if whole and part not in at and whole[-1][:2] == [host, marks]:  # goes on from the range before
+            whole[-1][3] = last
+        else:
+            whole.append([host, marks, first, last])
+        at.setdefault(part, [len(whole) - 1, 0])[1] = len(whole) - 1
+    out = {}
+    for part, (i, j) in at.items():
+        before = (whole[i - 1][3], whole[i - 1][1]) if i and whole[i - 1][0] == whole[i][0] else None
+        after = (whole[j + 1][2], whole[j + 1][1]) if j + 1 < len(whole) and whole[j + 1][0] == whole[j][0] else None
+        out[part] = before, whole[i][2], whole[j][3], after
+    return out
 
 
 PACKED = "page_id long, url string, host string, path string, part int, marks binary, states binary, body binary"
+ENDS = "part int, nth int, host string, marks binary, first string, last string"
 RESULT = "page_id long, url string, text string, n_chars long, n_lines int, n_shared int, n_restored int, n_removed int"
 
 
@@ -228,13 +255,14 @@ def extract(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url
     host = F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     keyed = own.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
+    ends_schema = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("host", pa.string()), ("marks", pa.binary()), ("first", pa.string()), ("last", pa.string())])
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     key = lambda h, p, k: (h, p, k is not None, k or 0)
     sample = keyed.select("host", "path", "page_id").orderBy(F.xxhash64("host", "path", "page_id"), "page_id").limit(SAMPLE * ranges).collect()
     sample = sorted(key(r.host, r.path, r.page_id) for r in sample)
     cuts = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
 
-    def pack(batches):
+    def pack(batches, whole=True):
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for part in pieces(batch, "html"):
@@ -244,18 +272,25 @@ def extract(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url
                     *part.columns[:4],
                     pa.array([bisect.bisect_right(cuts, key(*k)) for k in zip(hosts, paths, ids)], pa.int32()),
                     pa.array([b"".join(xxhash.xxh64_digest(t.encode("utf-8", "replace")) for t, _ in s) for s in split], pa.binary()),
-                    pa.array([bytes(st for _, st in s) for s in split], pa.binary()),
-                    pa.array([squeeze("\n".join(t for t, _ in s).encode("utf-8", "replace")) for s in split], pa.binary()),
+                    pa.array([bytes(st for _, st in s) if whole else b"" for s in split], pa.binary()),
+                    pa.array([squeeze("\n".join(t for t, _ in s).encode("utf-8", "replace")) if whole else b"" for s in split], pa.binary()),
                 ], ["page_id", "url", "host", "path", "part", "marks", "states", "body"])
 
+    def ranged(batches):
+        rows = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows))
+        return itertools.groupby(rows, key=lambda r: r["part"])
+
+    def bounds(batches):
+        for part, rows in ranged(batches):
+            head, tail = [], deque(maxlen=2)
+            for run, _, _ in runs(rows):
+                end = part, run["host"], run["marks"], run["first"], run["last"]
+                (head if len(head) < 2 else tail).append(end)
+            yield pa.RecordBatch.from_pylist([dict(zip(("part", "nth", "host", "marks", "first", "last"), (e[0], n, *e[1:]))) for n, e in enumerate([*head, *tail])], schema=ends_schema)
+
     def align(batches):
         expand = zstandard.ZstdDecompressor().decompress
 
-        def rows():
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    yield batch.slice(i, 1).to_pylist()[0]
-
         def judged(run, before, after):
             near = [(len(commonprefix([n[0], path])), n[1]) for n, path in ((before, run["first"]), (after, run["last"])) if n]
             marks = np.frombuffer(run["marks"], "<u8").tolist()
@@ -270,15 +305,18 @@ def extract(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.int32()] * 4)))], ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_restored", "n_removed"])
 
         out = []
-        for found in runs(rows()):
-            for row in judged(*found):
-                out.append(row)
-                if sum(len(o[2]) for o in out[-64:]) > 1 << 22 or len(out) >= 1000:
-                    yield packed(out)
-                    out = []
+        for row in (row for part, rows in ranged(batches) for found in runs(rows, beyond.value[part]) for row in judged(*found)):
+            out.append(row)
+            if sum(len(o[2]) for o in out[-64:]) > 1 << 22 or len(out) >= 1000:
+                yield packed(out)
+                out = []
         if out:
             yield packed(out)
 
     small_batches(spark)
+    order = ["part", "host", "path", F.col("page_id").asc_nulls_first(), "url", "marks"]
+    light = keyed.mapInArrow(lambda batches: pack(batches, False), PACKED).repartitionById(ranges, "part").sortWithinPartitions(*order)
+    ends = light.mapInArrow(bounds, ENDS).collect()  # four rows a range at most
+    beyond = spark.sparkContext.broadcast(edges((r.part, r.host, bytes(r.marks), r.first, r.last) for r in sorted(ends, key=lambda r: (r.part, r.nth))))
     spread = keyed.mapInArrow(pack, PACKED).repartitionById(ranges, "part")
-    return spread.sortWithinPartitions("part", "host", "path", F.col("page_id").asc_nulls_first(), "url", "marks").drop("part").select("page_id", "url", "host", "path", "marks", "states", "body").mapInArrow(align, RESULT)
+    return spread.sortWithinPartitions(*order).mapInArrow(align, RESULT)

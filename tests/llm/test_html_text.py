@@ -87,3 +87,42 @@ def test_runs_of_equal_pages_have_the_same_neighbours():
     rows = [{"host": h, "path": p, "marks": m, "page_id": k, "url": "", "states": b"", "body": b""} for k, (h, p, m) in enumerate([("a", "/1", b"x"), ("a", "/1", b"y"), ("a", "/2", b"y"), ("a", "/3", b"y"), ("a", "/4", b"z"), ("b", "/", b"z"), ("b", "/", b"z")])]
     got = [([p[0] for p in run["pages"]], run["first"], run["last"], before, after) for run, before, after in H.runs(rows)]
     assert got == [([0], "/1", "/1", None, ("/1", b"y")), ([1, 2, 3], "/1", "/3", ("/1", b"x"), ("/4", b"z")), ([4], "/4", "/4", ("/3", b"y"), None), ([5, 6], "/", "/", None, None)]
+
+
+def test_copies_side_by_side_have_equal_texts(spark):
+    rows = [(k, f"http://h.example/a/list?page={k}", page("<p>Copy</p>")) for k in range(1, 6)] + [(3, "http://h.example/a/list?page=3", page("<p>Copy</p>"))]
+    rows += [(9, "http://h.example/a/other", page("<p>Other</p>"))]
+    rows += [(20 + k, "http://lone.example/", page("<p>Alone</p>")) for k in range(3)]
+    got = H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.page_id)] == ["Copy"] * 6 + ["Other"] + ["Template head\nAlone\nTemplate foot"] * 3
+
+
+def by_order(rows):
+    """The texts by the order of all pages, in plain Python."""
+    rows = sorted(((u.split("/")[2], "/" + u.split("/", 3)[3].split("?")[0], k, u, H.lines(h)) for k, u, h in rows), key=lambda r: (r[:4], [t for t, _ in r[4]]))
+    out = []
+    for i, (host, path, k, _, own) in enumerate(rows):
+        same = lambda j: 0 <= j < len(rows) and rows[j][0] == host and [t for t, _ in rows[j][4]] == [t for t, _ in own]
+        a = next(j for j in range(i, -2, -1) if not same(j))
+        b = next(j for j in range(i, len(rows) + 1) if not same(j))
+        near = [(len(H.commonprefix([rows[j][1], rows[e][1]])), rows[j][4]) for j, e in ((a, a + 1), (b, b - 1)) if 0 <= j < len(rows) and rows[j][0] == host]
+        other = max(near, key=lambda n: n[0])[1] if near else []
+        out.append((k, H.main_text(own, H.common_lines([t for t, _ in own], [t for t, _ in other]))[0]))
+    return sorted(out)
+
+
+def test_texts_do_not_depend_on_the_ranges(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):
+        host = rng.choice(["a.example"] * 6 + ["b.example", "c.example"])
+        body = "<p>Copy</p>" if host == "b.example" or 100 <= k < 180 else "".join(f"<p>{rng.choice('uvwxyz')}</p>" for _ in range(rng.randrange(4)))
+        rows.append((k, f"http://{host}/{k // 20}/{rng.choice(['list', 'item', k % 7])}?page={k}", page(body)))
+    want, conf, old = by_order(rows), "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 40):
+            spark.conf.set(conf, parts)
+            got = H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+            assert sorted((r.page_id, r.text) for r in got) == want
+    finally:
+        spark.conf.set(conf, old)
