@@ -22,7 +22,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.encode_and_read(spark, table(spark, sf_dir, "documents"))
+    return token_store.encode_and_read(spark, table(spark, sf_dir, "documents"), added=True)
 
 
 def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

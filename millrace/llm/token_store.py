@@ -56,8 +56,9 @@ class Encoder:
 
     The byte-level vocabularies split a text by a fixed pattern before any merge, so the ids of a text
     are those of its pieces one after another. Pieces are encoded once by the library and kept; a text
-    with characters outside the Latin blocks, where the pattern's classes are spelled out here, is
-    encoded by the library as a whole.
+    with characters outside the Latin blocks, where the pattern's classes are spelled out here, or with
+    the string of an added token is encoded by the library as a whole. With ``added``, special tokens'
+    strings in a text are their ids, as the library's default has it; without, they are ordinary text.
     """
 
     #: Letters and digits up to U+024F, as the pattern's classes have them.
@@ -66,14 +67,15 @@ class Encoder:
     PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
     OTHER = re.compile("[^\t-\r -ɏ]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        self.strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.kept: dict[str, bytes] = {}
@@ -87,7 +89,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        split = [self.PIECE.findall(t) if self.by_piece and not self.OTHER.search(t) else None for t in texts]
+        split = [self.PIECE.findall(t) if self.by_piece and not self.OTHER.search(t) and not any(s in t for s in self.strings) else None for t in texts]
         kept = self.kept
         missing = list(set().union(*(s for s in split if s is not None)).difference(kept))
         if missing:
@@ -101,9 +103,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One for each Python worker, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 def shard_row(part: int, seq: int, keys: list[int | None], payloads: list[bytes], width: int) -> dict:
@@ -155,8 +157,8 @@ class Shard:
         return out
 
 
-def write(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
-    """Encodes every whole text and writes the shards in ascending order of key."""
+def write(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS, added: bool = False) -> None:
+    """Encodes every whole text and writes the shards in ascending order of key. ``added``: as in Encoder."""
     tokenizer = tokenizer or vocabulary()
     ordered = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -168,7 +170,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id
     arrow = to_arrow_schema(_parse_datatype_string(SHARD))
 
     def run(batches):
-        enc, part, seq, keys, payloads, held = encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
+        enc, part, seq, keys, payloads, held = encoder(tokenizer, added), TaskContext.get().partitionId(), 0, [], [], 0
         end = enc.packed([end_id])
 
         def made():

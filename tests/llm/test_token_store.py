@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline as P
+from millrace.llm import queries as Q
 from millrace.llm import token_store as T
 from millrace.llm.common import Scratch
 from millrace.llm.perfect_hash import PerfectHash
@@ -74,3 +76,18 @@ def test_perfect_hash_is_minimal():
 def test_foreign_keys_are_refused():
     row = T.shard_row(0, 0, [1, 5, 9], [b"\1\0", b"\2\0", b"\3\0"], 2)
     assert T.Shard(row).find(np.arange(2000)).tolist().count(-1) == 1997
+
+
+def test_queries_have_the_ids_of_the_plain_library(spark):
+    library = Tokenizer.from_file(T.vocabulary())
+    rows = [(k, t) for k, t in enumerate([*TEXTS, "a<|endoftext|>b", "it's <|endoftext|> <|endoftext", "x <|endoftext|>\n日本"])]
+    df, folder = spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "documents").root
+    df.write.parquet(f"{folder}/documents.parquet")
+    want, at = [], 0
+    for k, t in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert 50256 in library.encode("a<|endoftext|>b", add_special_tokens=False).ids
+    for got in (Q.op3_token_store(spark, folder), P.write_tokens(spark, df, folder)):
+        assert sorted(map(tuple, got.collect())) == want
