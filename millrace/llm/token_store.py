@@ -7,17 +7,18 @@ Format: a folder ``shards`` of Parquet rows, one immutable shard a row, in ascen
   65,536 ids) or 4, document after document, each with the end id
 - index: a minimal perfect hash from key to slot; marks: a 32-bit fingerprint by slot; ordinals: by slot
   the number of the key's first document in the shard
-- keys, known: the keys in document order (0 where null) and whether they are not null; ends: where
-  each document's ids end (a document begins where the one before it ends)
+- keys, known: the keys in document order (0 where null) and whether they are not null, to list what
+  is there; ends: where each document's ids end (a document begins where the one before it ends)
 
 A keyed read picks the shard by its first and last key from the small columns, then needs one probe of
 the perfect hash, one fingerprint and one offset, however many documents the shard holds. Spark's
 writer commits the folder as a whole, so a lost executor's part is written again.
 
 Cases: a null text has no ids but the end id; null keys come first, are stored and can't be looked up;
-repeated keys lie side by side, ordered by text, and one lookup returns all of them in the shard; an
-empty table gives an empty folder; a text longer than a shard gets a shard of its own; other columns
-are ignored.
+repeated keys lie side by side, ordered by text, and one lookup returns all of them in each shard that has
+some (the rows of one key are dealt to several ranges by the beginnings of their texts, so that a key, or
+null, may have a third of all rows); an empty table gives an empty folder; a text longer than a shard gets a
+shard of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +40,14 @@ from .perfect_hash import PerfectHash, marks
 
 #: Ids in a shard, unless one document has more.
 SHARD_IDS = 1 << 20
-#: Pieces whose ids a worker keeps; others are encoded again when they come.
-CACHE_PIECES = 600_000
+#: Pieces whose ids a worker keeps, and characters of the longest that is kept: some 100 MB; others are encoded again when they come.
+CACHE_PIECES, CACHE_CHARS = 600_000, 40
+#: Bytes of input in one range of keys, by the plan's estimate, and ranges at most (they grow beyond that).
+RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
+#: Beginning of a text that parts the rows of one key.
+BEGINNING = 32
+#: Shards whose starts (24 bytes each) are broadcast at most.
+BROADCAST_SHARDS = 1_000_000
 
 SHARD = "part int, seq int, n_docs int, n_tokens long, first_key long, last_key long, width int, ids binary, index binary, marks binary, ordinals binary, keys binary, known binary, ends binary"
 
@@ -96,8 +103,9 @@ class Encoder:
             got = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
             kept.update((p, self.packed(e.ids)) for p, e in zip(missing, got, strict=True))
         out = [self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(kept.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
-        if len(kept) > CACHE_PIECES:
-            for p in missing:
+        full = len(kept) > CACHE_PIECES
+        for p in missing:
+            if full or len(p) > CACHE_CHARS:
                 del kept[p]
         return out
 
@@ -144,6 +152,19 @@ class Shard:
         good = (slot >= 0) & (self.marks[slot] == marks(keys))
         return np.where(good, self.ordinals[np.maximum(slot, 0)].astype(np.int64), -1)
 
+    def numbers(self) -> np.ndarray:
+        """The number of every document that is listed, by a lookup of its key: repeated keys follow the key's first document, null keys have no slot and go by place."""
+        n, known = np.arange(len(self.keys)), np.flatnonzero(self.known)
+        keys = self.keys[known]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        nth = np.arange(len(keys)) - np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+        first = self.find(keys)
+        if (first < 0).any() or (self.keys[first] != keys).any():
+            raise ValueError("a shard's index doesn't agree with its keys")
+        n[known] = first + nth
+        return n
+
     def bounds(self, n: int) -> tuple[int, int]:
         return int(self.ends[n - 1]) if n else 0, int(self.ends[n])
 
@@ -157,12 +178,18 @@ class Shard:
         return out
 
 
+def estimated(df: DataFrame) -> int:
+    """Bytes of ``df`` by the plan's statistics (of files, their size); 0 where they say nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 62 else 0
+
+
 def write(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS, added: bool = False) -> None:
     """Encodes every whole text and writes the shards in ascending order of key. ``added``: as in Encoder."""
     tokenizer = tokenizer or vocabulary()
     ordered = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ordered.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, estimated(ordered) // RANGE_BYTES))
+    ordered = ordered.repartitionByRange(parts, "key", F.substring("text", 1, BEGINNING)).sortWithinPartitions("key", "text")
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -206,20 +233,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files through their index."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files: each key is looked up in its shard's index."""
     shards = read(spark, path)
-    placed = shards.join(starts(shards), ["part", "seq"])
+    first = starts(shards)
+    placed = shards.join(F.broadcast(first) if shards.count() <= BROADCAST_SHARDS else first, ["part", "seq"])
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 shard, base = Shard(row), row["start"]
-                first = shard.find(shard.keys)
-                # Repeated keys follow their first document; null keys have no slot and go by position.
-                n = np.arange(len(shard.keys))
-                if len(n) and not ((first <= n) & (shard.keys[first] == shard.keys))[shard.known].all():
-                    raise ValueError(f"the index of shard {row['part']}-{row['seq']} doesn't agree with its keys")
+                n = shard.numbers()
                 spans = [shard.bounds(k) for k in n.tolist()]
                 crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in spans]
                 yield pa.RecordBatch.from_arrays([
