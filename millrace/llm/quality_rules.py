@@ -7,7 +7,7 @@ one Spark conditional expression (``when ... when ... otherwise``) over the stat
 applying it needs no Python.
 
 Cases: a null or empty text has all statistics 0 (and fails the base rule of 50 words); ratios over
-nothing are 0; null labels are not learned from; repeated rows each get a row; without labels, or with
+nothing are 0; null labels are not learned from; equal labelled rows are learned from once; repeated rows each get a row; without labels, or with
 labels of one class only, the list is empty and the base rule alone decides; an empty table gives an
 empty result; columns beside the id and text columns are ignored.
 """
@@ -26,7 +26,7 @@ from .common import Scratch, map_text, texts
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_digits", "n_distinct")
 STATS = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
-#: Labelled rows that the list is learned from at most, those of the least id hashes.
+#: Labelled rows that the list is learned from: about so many at most, chosen by hash at one rate.
 FIT_ROWS = 20_000
 
 
@@ -179,8 +179,11 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> list[Rule]:
     """``stats`` has doc_id, COUNTS and features; ``label`` 0 marks what to reject."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y"))
-    sample = stats.join(known, stats["doc_id"] == known["k"]).select("y", *features()).orderBy(F.xxhash64("k"), "y").limit(rows).toPandas()
+    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y")).distinct()
+    labelled = stats.join(known, stats["doc_id"] == known["k"]).select(F.xxhash64("k", "y", *COUNTS).alias("h"), "y", *features())
+    rate = min(1.0, rows / max(1, labelled.count()))
+    # Equal rows count once, so that about ``rows`` come to the driver whatever is repeated.
+    sample = labelled.where(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30)).dropDuplicates(["h"]).toPandas().sort_values("h", kind="stable")
     if sample["y"].nunique() < 2:
         return []
     return learn({n: sample[n].to_numpy(float) for n in features()}, sample["y"].to_numpy() == 0)
