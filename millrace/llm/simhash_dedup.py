@@ -130,48 +130,55 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, blo
     return nodes[linked], nodes[root[linked]]
 
 
-def plan_groups(cells: list[tuple[int, int, int]], radius: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """From the count of each cell (bits set in the high half, in the low half): (hi, lo, first group, groups) and pairs of groups to compare."""
+def deal(cells: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(hi, lo, first group, groups) from the count of each cell (bits set in the high half, in the low half)."""
     total = sum(c for _, _, c in cells)
     most = max(GROUP_LEAST, min(GROUP_MOST, math.ceil(total / GROUPS)))
-    routes, held, at, room = [], [], -1, 0
+    routes, groups, at, room = [], 0, -1, 0
     for hi, lo, count in sorted(cells, key=lambda c: (c[0] + c[1], c[0])):
         if count > most:
             parts = math.ceil(count / most)
-            routes.append((hi, lo, len(held), parts))
-            held += [{(hi, lo)} for _ in range(parts)]
-            room = 0
+            routes.append((hi, lo, groups, parts))
+            groups, room = groups + parts, 0
             continue
         if room < count:
-            at, room = len(held), most
-            held.append(set())
-        held[at].add((hi, lo))
+            at, room, groups = groups, most, groups + 1
         routes.append((hi, lo, at, 1))
         room -= count
-    near = lambda a, b: any(abs(h1 - h2) + abs(l1 - l2) <= radius for h1, l1 in a for h2, l2 in b)
-    return routes, [(g, k) for g in range(len(held)) for k in range(g, len(held)) if g == k or near(held[g], held[k])]
+    return routes
+
+
+def near_ranges(routes: list[tuple[int, int, int, int]], radius: int) -> list[tuple[int, int, int, int]]:
+    """(first group, groups, first group, groups) of each two cells that may hold links: some 45,000 rows at most, however many groups there are."""
+    held = {(hi, lo): (first, parts) for hi, lo, first, parts in routes}
+    steps = [(h, l) for h in range(-radius, radius + 1) for l in range(-radius, radius + 1) if abs(h) + abs(l) <= radius]
+    return sorted({min(own + held[c], held[c] + own) for (hi, lo), own in held.items() for h, l in steps if (c := (hi + h, lo + l)) in held})
+
+
+def pair_table(spark: SparkSession, ranges: list[tuple[int, int, int, int]]) -> DataFrame:
+    """(g, k), g <= k: the groups to compare. Their number grows with the square of the groups, so they are made in Spark."""
+    each = lambda first, parts: F.explode(F.sequence(F.col(first), F.col(first) + F.col(parts) - 1))
+    both = spark.createDataFrame(ranges, "a long, n long, b long, m long").select(each("a", "n").alias("x"), "b", "m").select("x", each("b", "m").alias("y"))
+    return both.select(F.least("x", "y").alias("g"), F.greatest("x", "y").alias("k")).distinct()
 
 
 def links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Spanning edges (a, b) between distinct fingerprints at ``radius`` or fewer differing bits. ``fps`` is a written table (fp)."""
     hi, lo = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     cells = [(r.hi, r.lo, r.n) for r in fps.groupBy(hi.alias("hi"), lo.alias("lo")).agg(F.count(F.lit(1)).alias("n")).collect()]  # 33 x 33 at most
-    routes, pairs = plan_groups(cells, radius)
-    if not pairs:
+    routes = deal(cells)
+    if not routes:
         return spark.createDataFrame([], "a long, b long")
-    route = spark.createDataFrame(routes, "hi int, lo int, first int, parts int")
-    units: dict[int, list[tuple[int, int]]] = {}
-    for u, (g, k) in enumerate(pairs):
-        units.setdefault(g, []).append((u, 0))
-        if k != g:
-            units.setdefault(k, []).append((u, 1))
-    where = spark.createDataFrame([(g, u, side) for g, us in units.items() for u, side in us], "grp int, unit int, side int")
+    route = spark.createDataFrame(routes, "hi int, lo int, first long, parts long")
+    pairs = pair_table(spark, near_ranges(routes, radius))
+    side = lambda c, n: F.struct(F.col(c).alias("grp"), "g", "k", F.lit(n).alias("side"))
+    where = pairs.select(F.inline(F.when(F.col("g") == F.col("k"), F.array(side("g", 0))).otherwise(F.array(side("g", 0), side("k", 1)))))
     dealt = (
         fps.select("fp", hi.cast("int").alias("hi"), lo.cast("int").alias("lo"))
         .join(F.broadcast(route), ["hi", "lo"])  # 33 x 33 rows at most
-        .select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("grp"))
-        .join(F.broadcast(where), "grp")  # a row for each pair of groups: (distinct fingerprints / GROUP_MOST) squared, GROUPS squared at least
-        .select("unit", "side", "fp")
+        .select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("grp"))
+        .join(where, "grp")  # small or large: left to Spark's threshold
+        .select("g", "k", "side", "fp")
     )
 
     def compare(unit: pa.Table) -> pa.Table:
@@ -179,7 +186,7 @@ def links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS) -> DataFram
         a, b = forest(fp[side == 0], fp[side == 1] if (side == 1).any() else None, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.repartition(min(len(pairs), 2000), "unit").groupBy("unit").applyInArrow(compare, "a long, b long")
+    return dealt.repartition(min(pairs.count(), 2000), "g", "k").groupBy("g", "k").applyInArrow(compare, "a long, b long")
 
 
 def stars(scratch: Scratch, edges: DataFrame) -> DataFrame:

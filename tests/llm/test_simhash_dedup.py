@@ -95,9 +95,11 @@ def test_forest_spans_every_link():
         assert len(x) <= len(nodes)
 
 
-def test_groups_cover_all_near_cells():
-    cells = [(h, l, 50 + h * l) for h in range(10, 24) for l in range(9, 22)]
-    routes, pairs = S.plan_groups(cells, 4)
+def test_groups_cover_all_near_cells(spark):
+    cells = [(h, l, 50 + h * l + 20_000 * (h == 12)) for h in range(10, 24) for l in range(9, 22)]
+    routes = S.deal(cells)
+    pairs = [tuple(r) for r in S.pair_table(spark, S.near_ranges(routes, 4)).collect()]
+    assert len(pairs) == len(set(pairs)) and max(parts for *_, parts in routes) > 1
     held = {(h, l): range(first, first + parts) for h, l, first, parts in routes}
     assert len(held) == len(cells)
     for a in held:
