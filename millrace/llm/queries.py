@@ -121,17 +121,19 @@ b AS (
   FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 bs AS (
   SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
 bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
 ds AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
 hit AS (
   SELECT doc_id, item_id FROM ds JOIN bs USING (s) JOIN bn USING (item_id)
   GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n),
 good AS (
   SELECT hit.doc_id, hit.item_id FROM hit JOIN b USING (item_id) JOIN d USING (doc_id)
-  WHERE len(list_intersect(list_distinct(b.w[-5:]), d.w)) >= 0.5 * len(list_distinct(b.w[-5:]))),
+  WHERE len(list_intersect(list_distinct(b.w[-5:]), d.w)) >= 0.5 * len(list_distinct(b.w[-5:]))
+  UNION ALL
+  SELECT doc_id, item_id FROM d JOIN b ON len(b.w) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')),
 per AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM good GROUP BY 1)
 SELECT documents.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items, '') AS items
 FROM documents LEFT JOIN per USING (doc_id)

@@ -13,7 +13,10 @@ def plain(docs, items):
         for k, raw in items:
             w = D.words_of(raw)
             s, a = D.shingles(w), set(w[-5:])
-            if w and sum(x in own for x in s) >= 0.8 * len(s) and sum(x in words for x in a) >= 0.5 * len(a):
+            if len(w) < 5:
+                if any(words[i : i + len(w)] == w for i in range(len(words) - len(w) + 1)) and w:
+                    held.append(k)
+            elif sum(x in own for x in s) >= 0.8 * len(s) and sum(x in words for x in a) >= 0.5 * len(a):
                 held.append(k)
         out.append(sorted(held))
     return out
@@ -71,16 +74,36 @@ def test_tables(spark):
 def test_index_in_parts(spark):
     _, items = corpus(3)
     bench = spark.createDataFrame([(k, t.decode()) for k, t in items], "item_id long, text string")
-    parts = D.indexes(bench, part_bytes=500)
+    parts = [x for x, _ in D.indexes(bench, part_bytes=500)]
     assert len(parts) > 3 and sorted(k for p in parts for k in p.ids.tolist()) == [k for k, t in items if D.words_of(t)]
 
 
+def test_several_passes_give_the_same(spark):
+    docs, items = corpus(5)
+    df = spark.createDataFrame([(k, d.decode(), "x") for k, d in enumerate(docs)], "doc_id long, text string, part string")
+    bench = spark.createDataFrame([(k, t.decode()) for k, t in items], "item_id long, text string")
+    want = [tuple(r) for r in D.leaks(spark, df, bench).sort("doc_id").collect()]
+    got = [tuple(r) for r in D.leaks(spark, df, bench, part_bytes=2000).sort("doc_id").collect()]
+    assert [r[:2] for r in got] == [r[:2] for r in want] and sum(bool(r[1]) for r in want) > 30
+    kept = D.remove_leaks(spark, df, bench, part_bytes=2000)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [k for k, h, _ in want if not h]
+
+
+def test_memory_of_an_index_is_in_proportion_to_its_items():
+    rng = random.Random(8)
+    items = [(k, " ".join(f"{rng.randrange(10**9)}" for _ in range(10)).encode()) for k in range(8000)]
+    index = D.Index(items)
+    assert max(index.block_max.size, index.block.size, index.item.size) <= 80_000 and index.blocks == 500
+    assert [[k for k, _ in f] for f in index.search([items[77][1], b"x " * 1000 + items[4000][1] + b" y" * 1000])] == [[77], [4000]]
+
+
 def test_short_and_nameless_items_remove_documents(spark):
     filler = " ".join(f"f{i}" for i in range(40))
     docs = [(1, f"{filler} Red, green blue! {filler}"), (2, f"{filler} green red blue {filler}"), (3, "red green blue"), (4, "so red green blue"), (5, f"{filler} one two three four five six {filler}"), (6, filler), (7, f"{filler} redgreen blue")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame([(1, "red green blue"), (None, "one two three four five six"), (None, None)], "item_id long, text string")
-    assert sorted(r.doc_id for r in D.remove_leaks(spark, df, bench, short=True).collect()) == [2, 6, 7]
+    assert sorted(r.doc_id for r in D.remove_leaks(spark, df, bench).collect()) == [2, 6, 7]
+    assert [r["items"] for r in D.leaks(spark, df, bench).sort("doc_id").collect()] == [[1], [], [1], [1], [], [], []]
     assert sorted(r.doc_id for r in P.drop_leaks(spark, df, saved(spark, bench)).collect()) == [2, 6, 7]
 
 
