@@ -5,6 +5,8 @@ into a fixed number of buckets. The log-probability matrix (buckets x languages)
 texts is scored at once in numpy as a sparse product: rows of the matrix are gathered by n-gram and summed
 by text. Whole texts are scored, in blocks of bounded size.
 
+The model has a column of 256 KB a language, on the driver and in each worker.
+
 Cases: a null text, or one without a letter, is ``und`` with score 0; equal likelihoods go to the first
 language by code point; null languages are not learned from; with nothing to learn from, all is ``und``;
 repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
@@ -13,6 +15,7 @@ repeated rows each get a row; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,8 @@ ORDERS = (2, 3)
 SMOOTH = 0.1
 #: Documents of each language that the model is fitted on at most (those of the least id hashes).
 FIT_ROWS = 4_000
-#: N-grams that are gathered at once, and characters of a long text.
-BLOCK = 1 << 18
+#: Characters of a long text that are hashed at once, and numbers of the matrix that are gathered at once.
+BLOCK, CELLS = 1 << 18, 1 << 20
 UNKNOWN = "und"
 
 
@@ -35,7 +38,7 @@ UNKNOWN = "und"
 def _letters() -> np.ndarray:
     """By code point: its lower-case letter, or a space."""
     out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x30000):
+    for c in range(0x110000):
         if (s := chr(c)).isalpha():
             out[c] = ord(s.lower()[0])
     return out
@@ -69,28 +72,42 @@ def grams(batch: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([b for _, b in found]), np.concatenate([owner[: len(good)][good] for good, _ in found]), has
 
 
+def _window(text: str, start: int, stop: int) -> np.ndarray:
+    """The characters from ``start`` to ``stop`` of the text with a separator on both sides."""
+    return _chars(("\n" if start == 0 else "") + text[max(start - 1, 0) : stop - 1] + ("\n" if stop == len(text) + 2 else ""))
+
+
 def _long_score(text: str, weights: np.ndarray) -> tuple[np.ndarray, bool]:
     """The same for one long text, a block of characters at a time."""
     out, has, most = np.zeros(weights.shape[1]), False, max(ORDERS)
     padded = len(text) + 2
     for at in range(0, padded, BLOCK):
-        stop = min(at + BLOCK + most - 1, padded)
-        part = ("\n" if at == 0 else "") + text[max(at - 1, 0) : stop - 1] + ("\n" if stop == padded else "")
-        chars = _chars(part)
+        chars = _window(text, at, min(at + BLOCK + most - 1, padded))
         has = has or bool((chars != 32).any())
         for n in ORDERS:
             _, bucket = _hashed(chars, n, BLOCK)
-            out += weights[bucket].sum(axis=0, dtype=np.float64)
+            step = max(1, CELLS // max(1, weights.shape[1]))
+            for k in range(0, len(bucket), step):
+                out += weights[bucket[k : k + step]].sum(axis=0, dtype=np.float64)
     return out, has
 
 
+def buckets(text: str | None) -> Iterator[np.ndarray]:
+    """The buckets of the n-grams of one text, a block of characters at a time."""
+    most, padded = max(ORDERS), len(text or "") + 2
+    for at in range(0, padded, BLOCK):
+        chars = _window(text or "", at, min(at + BLOCK + most - 1, padded))
+        for n in ORDERS:
+            yield _hashed(chars, n, BLOCK)[1]
+
+
 def score(batch: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log-likelihoods by text and language, which texts have a letter)."""
     long = [k for k, t in enumerate(batch) if t is not None and len(t) > BLOCK]
     bucket, owner, has = grams([None if t is not None and len(t) > BLOCK else t for t in batch])
     out = np.zeros((len(batch), weights.shape[1]))
     order_cuts = np.flatnonzero(np.diff(owner) < 0) + 1  # owners ascend within an order
-    cuts = np.unique(np.concatenate([[0], order_cuts, np.arange(0, len(owner), BLOCK), [len(owner)]]))
+    cuts = np.unique(np.concatenate([[0], order_cuts, np.arange(0, len(owner), max(1, CELLS // max(1, weights.shape[1]))), [len(owner)]]))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         own = owner[a:b]
         first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
@@ -108,23 +125,41 @@ def fit(docs: DataFrame, use: Column, rows: int = FIT_ROWS, doc_id: str = "doc_i
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32)
     rate = docs.sparkSession.createDataFrame(share, "lang string, rate double")
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    sample = own.join(F.broadcast(rate), "lang").where(hashed < F.col("rate")).select("lang", "text").repartition(8)
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    sample = own.withColumn("hashed", hashed).join(rate, "lang").where(F.col("hashed") < F.col("rate")).select("lang", "text")
 
     def count(batches):
-        table = np.zeros((len(languages), BUCKETS))
-        at = {s: i for i, s in enumerate(languages)}
+        """A row a language; the rows come language by language."""
+        language, table, held, size = None, np.zeros(BUCKETS), [], 0
+
+        def fold():
+            nonlocal size
+            if held:
+                np.add(table, np.bincount(np.concatenate(held), minlength=BUCKETS), out=table)
+                held.clear()
+                size = 0
+
+        def made():
+            fold()
+            return pa.RecordBatch.from_arrays([pa.array([language], pa.string()), pa.array([table.astype("<f4").tobytes()], pa.binary())], ["lang", "counts"])
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                bucket, owner, _ = grams(part.column(1).to_pylist())
-                language = np.array([at[s] for s in part.column(0).to_pylist()])
-                np.add(table, np.bincount(language[owner] * BUCKETS + bucket, minlength=table.size).reshape(table.shape), out=table)
-        yield pa.RecordBatch.from_arrays([pa.array([table.astype("<f4").tobytes()], pa.binary())], ["counts"])
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if name != language:
+                    if language is not None:
+                        yield made()
+                    language, table = name, np.zeros(BUCKETS)
+                for found in buckets(text.as_py()):
+                    held.append(found)
+                    size += len(found)
+                    if size > CELLS:
+                        fold()
+        if language is not None:
+            yield made()
 
     small_batches(docs.sparkSession)
-    counts = sum(np.frombuffer(r.counts, "<f4").astype(float) for r in sample.mapInArrow(count, "counts binary").collect())
-    counts = counts.reshape(len(languages), BUCKETS) + SMOOTH
+    found = {r.lang: r.counts for r in sample.repartition("lang").sortWithinPartitions("lang").mapInArrow(count, "lang string, counts binary").collect()}  # the model's size
+    counts = np.array([np.frombuffer(found[s], "<f4").astype(float) if s in found else np.zeros(BUCKETS) for s in languages]) + SMOOTH
     return languages, np.ascontiguousarray(np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
 

@@ -77,3 +77,29 @@ def test_nothing_to_learn_from(spark):
     languages, weights = L.fit(docs, F.lit(True))
     assert [r.lang_pred for r in L.predict(spark, docs, languages, weights).collect()] == ["und"]
     assert L.predict(spark, docs.limit(0), languages, weights).collect() == []
+
+
+def test_letters_of_every_plane():
+    weights = np.zeros((L.BUCKETS, 2), np.float32)
+    assert L.score([chr(0x30000), chr(0x1F600), "\U0002A6D7 1", "１２"], weights)[1].tolist() == [True, False, True, False]
+
+
+def test_fit_counts_every_gram_of_a_language(spark, monkeypatch):
+    data = [(k, t, s) for k, t, s in rows(60, 5)] + [(100, None, "aa"), (101, "ka to\n" * 50, "bb"), (102, "x", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(5)
+    for block in (L.BLOCK, 11):
+        monkeypatch.setattr(L, "BLOCK", block)
+        languages, weights = L.fit(docs, F.lit(True))
+        for k, s in enumerate(languages):
+            want = np.full(L.BUCKETS, L.SMOOTH)
+            for _, t, lang in data:
+                if lang == s:
+                    for g, n in plain_grams(t).items():
+                        want[bucket(g)] += n
+            assert np.allclose(weights[:, k], np.log(want / want.sum()), atol=1e-4)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "ka to mi " * 60_000, "aa"), (2, "schung ein " * 40, "bb")], "doc_id long, text string, lang string")
+    languages, weights = L.fit(docs, F.lit(True))
+    assert [r.lang_pred for r in L.predict(spark, docs, languages, weights).sort("doc_id").collect()] == ["aa", "bb"]
