@@ -16,7 +16,8 @@ and the id, URL and states of each of its pages.
 Cases: a null or empty page has the empty text; a page without a neighbour in its host shares nothing; a
 null or odd URL belongs to the host of the empty name; repeated rows each get a row (and, being one run,
 the same neighbour, so that equal pages side by side have equal texts); a null id keeps its row; an empty table gives an empty
-result; other columns are ignored.
+result; markup is read in one forward pass, so that a page of any length and shape takes time in proportion to
+it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,10 +60,13 @@ NAMES = {
 QUALIFIED = {"no", "with", "without", "has"}  # of a whole page: "no-sidebar"
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)")
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+# Every name is taken, with or without a value, and given back by none: one pass whatever the length.
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 NAME = re.compile(r"[a-z]+")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+NONE_SHOWN = re.compile(r"display\s*:\s*none")
 
 IN, OPEN, GONE = 0, 1, 2
 
@@ -79,9 +83,56 @@ def _outside(name: str, attributes: str, within: bool) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id") and any(not NAMES.isdisjoint(parts := set(NAME.findall(name))) and not (parts & QUALIFIED or within and parts & NAMES == {"header"}) for name in value.split()):
             return True
-        if key == "role" and value.strip() in ROLES or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+        if key == "role" and value.strip() in ROLES or key == "aria-hidden" and value == "true" or key == "style" and NONE_SHOWN.search(value):
             return True
-    return bool(BARE_HIDDEN.search(ATTRIBUTE.sub(" ", attributes)))
+        if key == "hidden" and m.end() == m.end(1):
+            return True
+    return False
+
+
+def marks(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of every tag, comment and declaration (these without a name), in one forward pass.
+
+    A ``>`` between quotes doesn't end a tag; a quote that nothing closes is no quote. Once the page has ended
+    within a tag, quotes don't count any more.
+    """
+    at, last, loose = 0, page.rfind(">"), False
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start) or page.startswith("<![CDATA[", start):
+            close = "-->" if page[start + 2] == "-" else "]]>"
+            stop = page.find(close, start + 4)
+            at = stop + 3 if stop >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        if page.startswith(("<!", "<?"), start):
+            stop = page.find(">", start)
+            at = stop + 1 if stop >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        m = TAG.match(page, start)
+        if not m or start > last:
+            at = start + 1
+            continue
+        stop, own = -1, m.end()
+        while not loose:
+            sign = STOP.search(page, own)
+            if not sign:
+                loose = True
+            elif sign[0] == ">":
+                stop = sign.start()
+                break
+            else:
+                close = page.find(sign[0], sign.end())
+                own = close + 1 if close >= 0 else sign.end()
+        if stop < 0:
+            stop = page.find(">", m.end())
+        at, name, closing = stop + 1, m[1].lower(), page[start + 1] == "/"
+        yield start, at, name, closing, page[m.end() : stop]
+        if name in RAW and not closing:  # its text is neither markup nor shown
+            found = RAW_END[name].search(page, at)
+            stop = found.start() if found else len(page)
+            yield at, stop, "", False, ""
+            at = stop
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
@@ -102,29 +153,19 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if text:
             out.append((text, state()))
 
-    size = len(page)
-    while at < size:
-        m = MARK.search(page, at)
-        if not m:
-            held.append(page[at:])
-            break
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    for start, stop, name, end, attributes in marks(page):
+        if start > at:
+            held.append(page[at:start])
+        at = stop
+        if not name:
             continue
-        name, end = m[2].lower(), bool(m[1])
         if name == "br":
             held.append(" ")
             continue
-        outside = not end and not gone and _outside(name, m[3], article > 0)
+        outside = not end and not gone and _outside(name, attributes, article > 0)
         if name not in INLINE or outside or gone and end and name == gone:
             close()
-        if name in RAW and not end:
-            stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-            at = stop.start() if stop else size
-            continue
-        if name in VOID:
+        if name in VOID or name in RAW:
             continue
         if gone:
             if name == gone:
@@ -132,12 +173,13 @@ def lines(page: str | None) -> list[tuple[str, int]]:
                 gone = gone if depth else ""
             elif name == "article" and not end and gone in ("nav", "header", "head"):
                 gone, depth, article = "", 0, article + 1
-        elif outside and not m[3].endswith("/"):
+        elif outside and not attributes.endswith("/"):
             gone, depth = name, 1
         elif name in ("article", "main"):
             article = max(0, article + (-1 if end else 1))
         if gone == "head" and name == "body":
             gone, depth = "", 0
+    held.append(page[at:])
     close()
     return out
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -55,6 +56,19 @@ def test_odd_markup():
     assert text(f"<article><p>{long}</p></article>") == long.strip()
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<a '", '<a ">" ', "<a x=\"y>", "<", "<!--", "<a b", "<a a=", "</", "<script>", "<p hidden ", "&#", "<a \"'", "<![CDATA[", "<p class=a id=b ", "x "])
+@pytest.mark.parametrize("end", ["", ">", "'>", '">'])
+def test_time_in_proportion_to_the_page(unit, end):
+    began = time.process_time()
+    H.lines(unit * (1_000_000 // len(unit)) + end)
+    assert time.process_time() - began < 5
+
+
+def test_script_texts_are_no_markup():
+    assert text('<article><script>var t="<a ";</script><p>x</p><SCRIPT>"</p>\'</Script ><p>"y"</p><style>a>b{}</style></article>') == 'x\n"y"'
+    assert text('<article><p title="a > b" data-x=\'"\'>x</p><p hidden=until-found>y</p><p data-hidden="1">z</p></article>') == "x\ny\nz"
+
+
 def test_names_of_whole_pages_and_titles():
     assert text('<div class="page no-sidebar"><p>x</p><div class="right sidebar-box">y</div></div>') == "x"
     assert text('<article><div class="post-header"><h1>t</h1></div><p>x</p><div class="share-links">s</div></article>') == "t\nx"
