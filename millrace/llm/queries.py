@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,11 +140,15 @@ SELECT documents.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items,
 FROM documents LEFT JOIN per USING (doc_id)
 """
 
-OP8_SQL = """
-WITH r AS (
-  SELECT page_id, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e
-    || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS record
-  FROM pages, (SELECT chr(13) || chr(10) AS e))
+_SAFE_URL = functools.reduce(lambda sql, c: f"replace({sql}, chr({c}), '%{c:02X}')", [*range(1, 33), 127], "url")  # DuckDB's strings of Parquet hold no NUL here
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(concat_ws(chr(10), coalesce(page_id::VARCHAR, ''), coalesce(url, ''), coalesce(html, ''))) AS m, chr(13) || chr(10) AS e FROM pages),
+u AS (SELECT *, 'urn:uuid:' || concat_ws('-', m[1:8], m[9:12], m[13:16], m[17:20], m[21:32]) AS urn FROM p),
+r AS (
+  SELECT page_id, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <' || urn || '>' || e || 'WARC-Date: 2000-01-01T00:00:00Z' || e
+    || 'WARC-Target-URI: ' || CASE WHEN url = '' THEN urn ELSE {_SAFE_URL} END || coalesce(e || 'X-Record-Key: ' || page_id::VARCHAR, '') || e
+    || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' || strlen(html) || e || e || html || e || e AS record
+  FROM u)
 SELECT page_id, strlen(record)::BIGINT AS n_bytes, sha256(record) AS digest, coalesce(page_id % 97 = 5, false) AS damaged FROM r
 """
 

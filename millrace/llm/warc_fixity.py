@@ -6,18 +6,27 @@ its records' ranges and hashes in order; leaves are numbered by (part, seq), and
 hash of up to FANOUT nodes below it. An audit compares the roots of two replicas, then only the children of
 nodes that differ, level by level, and last the records of the blocks that differ.
 
-Cases: null URLs and bodies are empty in the record; null keys are kept (their record id is empty);
-repeated records are separate leaves; an empty table has no blocks, and its root is null; a body longer than a block
+Records are WARC/1.1: their id is a UUID made of their contents, the key goes into a field of its own, and control
+characters and spaces of a URL are percent-encoded. ``export`` and ``read_files`` write and read ``.warc`` and
+``.warc.gz`` files, a gzip member a record.
+
+Cases: a null body is an empty one; a null or empty URL has the record's own id as its target and is read back as null;
+null keys are kept, without the field; repeated records are separate leaves with one id; an empty table has no blocks, and its root is null; a body longer than a block
 gets a block of its own; blocks missing from a replica, or only there, differ at their leaf; truncated
 bytes hash as what is left of them; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import uuid
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,16 +40,41 @@ BLOCK = "part int, seq int, keys binary, known binary, ends binary, payload bina
 MANIFEST = "part int, seq int, keys binary, known binary, ends binary, digests binary, leaf string"
 
 
-def record(key: Column, url: Column, body: Column) -> Column:
+#: The date of records whose pages have none.
+DATE = "2000-01-01T00:00:00Z"
+#: Header field of the key.
+KEY = "X-Record-Key"
+UNSAFE = [*range(33), 127]
+
+
+def safe_url(url: Column) -> Column:
+    """The URL with control characters and spaces percent-encoded."""
+    clean = url
+    for c in UNSAFE:
+        clean = F.replace(clean, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), clean).otherwise(url)
+
+
+def record(key: Column, url: Column, body: Column, date: str = DATE) -> Column:
     """A WARC resource record as a string; its bytes are the UTF-8 ones."""
     body, end = F.coalesce(body.cast("string"), F.lit("")), "\r\n"
+    key, url = key.cast("string"), F.coalesce(url.cast("string"), F.lit(""))
+    own = F.md5(F.concat_ws("\n", F.coalesce(key, F.lit("")), url, body).cast("binary"))
+    urn = F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *(F.substring(own, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
     head = F.concat(
-        F.lit(f"WARC/1.1{end}WARC-Type: resource{end}WARC-Record-ID: <urn:page:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(f">{end}WARC-Target-URI: "), F.coalesce(url.cast("string"), F.lit("")),
+        F.lit(f"WARC/1.1{end}WARC-Type: resource{end}WARC-Record-ID: <"), urn, F.lit(f">{end}WARC-Date: {date}{end}WARC-Target-URI: "), F.when(url == "", urn).otherwise(safe_url(url)),
+        F.when(key.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{end}{KEY}: "), key)),
         F.lit(f"{end}Content-Type: text/html; charset=utf-8{end}Content-Length: "), F.octet_length(body).cast("string"), F.lit(end * 2),
     )
     return F.concat(head, body, F.lit(end * 2))
 
 
+def fields(headers: dict[str, str]) -> tuple[int | None, str | None]:
+    """(key, url) of a record's headers."""
+    key, target = headers.get(KEY.lower()), headers.get("warc-target-uri", "")
+    return int(key) if key else None, target if target and f"<{target}>" != headers.get("warc-record-id") else None
+
+
 def parse(raw: bytes) -> list[tuple[dict[str, str], bytes]]:
     """The records of WARC bytes: (headers, body)."""
     out, at = [], 0
@@ -197,12 +231,104 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 found = parse(batch.column(0)[i].as_py())
-                key = [int(k) if (k := h["warc-record-id"][len("<urn:page:") : -1]) else None for h, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([h["warc-target-uri"] for h, _ in found]), pa.array([b.decode() for _, b in found])], ["key", "url", "body"])
+                named = [fields(h) for h, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in named], pa.int64()), pa.array([u for _, u in named], pa.string()), pa.array([b.decode() for _, b in found])], ["key", "url", "body"])
 
     return spark.read.schema(BLOCK).parquet(path).select("payload").mapInArrow(run, "key long, url string, body string")
 
 
+def export(spark: SparkSession, path: str, folder: str, compress: bool = True) -> DataFrame:
+    """Writes every block as a file of its own into ``folder`` (a URI that pyarrow's file systems know) and returns (name, n_records, n_bytes).
+
+    A file is written beside and then moved, so a task that runs twice leaves the same files.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, seq, _, _, ends, raw = (c[0].as_py() for c in batch.slice(i, 1).columns)
+                stops = np.frombuffer(ends, "<u8").tolist()
+                name = f"part-{part:06d}-{seq:06d}.warc" + (".gz" if compress else "")
+                fs, at = pa.fs.FileSystem.from_uri(folder)
+                fs.create_dir(at)
+                beside = f"{at}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(beside, compression=None) as out:
+                    size = 0
+                    for start, stop in zip([0, *stops], stops):
+                        size += out.write(gzip.compress(raw[start:stop], 6, mtime=0) if compress else raw[start:stop])
+                fs.move(beside, f"{at}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(stops)], pa.int64()), pa.array([size], pa.int64())], ["name", "n_records", "n_bytes"])
+
+    written = spark.read.schema(BLOCK).parquet(path).mapInArrow(run, "name string, n_records long, n_bytes long")
+    return Scratch(spark, "warc-export").save(written, "files")
+
+
+def stream(source, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, body) of the records of an open file, plain or of gzip members; one record is in memory at a time."""
+    held, inflate, plain = bytearray(), None, None
+
+    def more() -> bool:
+        nonlocal inflate, plain
+        raw = source.read(chunk)
+        if plain is None:
+            raw += source.read(1) if len(raw) == 1 else b""
+            plain = raw[:2] != b"\x1f\x8b"
+        if not raw:
+            return False
+        while raw and not plain:
+            inflate = inflate or zlib.decompressobj(31)
+            held.extend(inflate.decompress(raw))
+            raw = inflate.unused_data if inflate.eof else b""
+            inflate = None if inflate.eof else inflate
+        held.extend(raw)
+        return True
+
+    while True:
+        seen = 0
+        while (stop := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more():
+                if held.strip():
+                    raise ValueError("the file ends within a record's headers")
+                return
+        version, *lines = held[:stop].decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+        if not version.startswith("WARC/"):
+            raise ValueError(f"no record where one should begin: {version[:40]!r}")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (f.partition(":") for f in lines)}
+        size = stop + 4 + int(headers["content-length"])
+        while len(held) < size + 4 and more():
+            pass
+        if len(held) < size:
+            raise ValueError("the file ends within a record")
+        yield headers, bytes(held[stop + 4 : size])
+        del held[: size + 4 if held[size : size + 4] == b"\r\n\r\n" else size]
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, key, url, body) of the records of the ``.warc`` and ``.warc.gz`` files in ``folder``; files are read as streams. A body that isn't UTF-8 has replacement characters."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc{,.gz}").load(folder).select("path", "length")
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                fs, at = pa.fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+                out, size = [], 0
+                with fs.open_input_stream(at, compression=None) as source:
+                    for headers, body in stream(source):
+                        out.append((at.rsplit("/", 1)[-1], *fields(headers), body.decode("utf-8", "replace")))
+                        size += len(body)
+                        if size > BLOCK_BYTES:
+                            yield packed(out)
+                            out, size = [], 0
+                if out:
+                    yield packed(out)
+
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.string()))], ["name", "key", "url", "body"])
+
+    return files.select("path").mapInArrow(run, "name string, key long, url string, body string")
+
+
 def fixity(spark: SparkSession, first: str, second: str) -> DataFrame:
     """(key, n_bytes, digest, damaged) of every record of the first replica, audited against the second."""
     scratch = Scratch(spark, "fixity")
