@@ -3,18 +3,22 @@
 Arrivals are appended as runs of small shards. Runs of similar size (one tier spans a factor of FANOUT)
 are merged, FANOUT or more at a time, into files of about the target size. What the store holds is what its newest
 manifest says: a JSON file with a version number, written beside and then renamed into place, which
-fails if that version is there already. Readers see the old version or the new one; a writer that died
-leaves files that no manifest names, for ``vacuum`` to delete.
+fails if that version is there already; the writer then does the same on top of the newer version. Readers
+see the old version or the new one. A writer that died leaves files that no manifest names; ``vacuum`` deletes
+them once they are old enough not to be those of a writer that is about to commit.
 
-Cases: an empty arrival adds a version without a run; null and repeated rows, and any columns, are stored as
-they are; a null arrival key is a run of its own; reading an empty store needs a schema.
+Cases: an empty arrival adds a version without a run; null and repeated rows, very long texts and any columns are
+stored as they are; a null arrival key is a run of its own; reading an empty store needs a schema.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import random
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +30,10 @@ TARGET_BYTES = 128 << 20
 FANOUT = 4
 #: Runs below this size are all of the lowest tier.
 LEAST_BYTES = 1 << 20
+#: Times that a commit is tried on top of newer versions.
+TRIES = 100
+#: Seconds after which a run that no manifest names counts as abandoned.
+ABANDONED = 86_400
 
 
 @dataclass(frozen=True)
@@ -87,6 +95,25 @@ class ShardStore:
             raise
         return version
 
+    def publish(self, change: Callable[[list[Run]], list[Run] | None]) -> int | None:
+        """Commits what ``change`` makes of the newest version's runs, again if another writer was first; None if it makes nothing of them."""
+        for _ in range(TRIES):
+            base = max(self.versions(), default=0)
+            try:
+                runs = self.runs(base)
+            except Exception:
+                if base in self.versions():
+                    raise
+                continue  # a newer version has replaced it
+            after = change(runs)
+            if after is None:
+                return None
+            try:
+                return self.commit(base, after)
+            except Conflict:
+                time.sleep(random.random() / 10)
+        raise Conflict(f"{TRIES} versions of other writers came first")
+
     # Runs
 
     def _listed(self, name: str, sub: str = "") -> Run | None:
@@ -96,18 +123,21 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """One arrival as one run."""
-        base, name = max(self.versions(), default=0), uuid.uuid4().hex[:16]
+        name = uuid.uuid4().hex[:16]
         df.write.option("compression", "zstd").parquet(f"{self.root}/runs/{name}")
-        run = None if df.isEmpty() else self._listed(name)
-        return self.commit(base, [*self.runs(base), *([run] if run else [])])
+        run = None if self.spark.read.schema(df.schema).parquet(f"{self.root}/runs/{name}").isEmpty() else self._listed(name)
+        return self.publish(lambda runs: [*runs, *([run] if run else [])])
 
     def append_arrivals(self, df: DataFrame, arrival: str) -> int:
         """Every arrival (value of a column, which is kept) as a run of its own, in one pass and one commit."""
-        base, name = max(self.versions(), default=0), uuid.uuid4().hex[:16]
-        df.withColumn("__run", F.col(arrival)).write.option("compression", "zstd").partitionBy("__run").parquet(f"{self.root}/runs/{name}")
+        name, by, taken = uuid.uuid4().hex[:16], "__run", {c.lower() for c in df.columns}
+        while by in taken:
+            by += "_"
+        df.withColumn(by, F.col(arrival)).write.option("compression", "zstd").partitionBy(by).parquet(f"{self.root}/runs/{name}")
         at = self._path(f"{self.root}/runs/{name}")
         subs = sorted(s.getPath().getName() for s in self._fs.listStatus(at) if s.isDirectory())
-        return self.commit(base, [*self.runs(base), *(r for s in subs if (r := self._listed(name, f"/{s}")))])
+        new = [r for s in subs if (r := self._listed(name, f"/{s}"))]
+        return self.publish(lambda runs: [*runs, *new])
 
     def frame(self, runs: list[Run], schema=None) -> DataFrame:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
@@ -128,24 +158,28 @@ class ShardStore:
         """Merges tiers until none is full; each merge is a commit. Returns the number of merges."""
         merges = 0
         while old := self.due():
-            base, name = max(self.versions()), uuid.uuid4().hex[:16]
+            name = uuid.uuid4().hex[:16]
             files = max(1, round(sum(r.size for r in old) / self.target))
             self.frame(old).coalesce(files).write.option("compression", "zstd").parquet(f"{self.root}/runs/{name}")
-            gone = {r.name for r in old}
-            self.commit(base, [*(r for r in self.runs(base) if r.name not in gone), self._listed(name)])
-            merges += 1
+            gone, merged = {r.name for r in old}, self._listed(name)
+            done = self.publish(lambda runs: [*(r for r in runs if r.name not in gone), merged] if gone <= {r.name for r in runs} else None)
+            if done is None:  # another writer has merged some of them
+                remove(self.spark, f"{self.root}/runs/{name}")
+            else:
+                merges += 1
         return merges
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes the files that none of the newest ``keep`` versions names, and the older versions."""
+    def vacuum(self, keep: int = 1, abandoned: float = ABANDONED) -> None:
+        """Deletes the versions but the newest ``keep`` and the runs that only they name, and runs that no version has named for ``abandoned`` seconds."""
         versions = self.versions()
         named = {r.name for v in versions[-keep:] for r in self.runs(v)}
-        at = self._path(f"{self.root}/runs")
+        old = {r.name for v in versions[:-keep] for r in self.runs(v)} - named
+        at, before = self._path(f"{self.root}/runs"), (time.time() - abandoned) * 1000
         for top in self._fs.listStatus(at) if self._fs.exists(at) else []:
             name = top.getPath().getName()
-            subs = [f"{name}/{s.getPath().getName()}" for s in self._fs.listStatus(top.getPath()) if s.isDirectory()] if top.isDirectory() else []
-            for run in subs or [name]:
-                if run not in named and not any(n.startswith(f"{run}/") for n in named):
+            subs = [(f"{name}/{s.getPath().getName()}", s) for s in self._fs.listStatus(top.getPath()) if s.isDirectory()] if top.isDirectory() else []
+            for run, status in subs or [(name, top)]:
+                if run in old or run not in named and status.getModificationTime() <= before:
                     remove(self.spark, f"{self.root}/runs/{run}")
         for v in versions[:-keep]:
             remove(self.spark, f"{self.root}/manifests/v{v:08d}.json")
