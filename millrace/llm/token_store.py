@@ -45,7 +45,9 @@ CACHE_PIECES, CACHE_CHARS = 600_000, 40
 #: Bytes of input in one range of keys, by the plan's estimate, and ranges at most (they grow beyond that).
 RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
 #: Beginning of a text that parts the rows of one key.
-BEGINNING = 32
+BEGINNING = 12
+#: Keys that the driver samples to cut ranges, about.
+SAMPLED = 100_000
 #: Shards whose starts (24 bytes each) are broadcast at most.
 BROADCAST_SHARDS = 1_000_000
 
@@ -217,7 +219,13 @@ def write(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id
             yield made()
 
     small_batches(spark)
-    ordered.mapInArrow(lambda batches: released(run(batches)), SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
+    sampling = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(sampling)
+    try:
+        spark.conf.set(sampling, str(max(1, min(int(before), SAMPLED // parts))))
+        ordered.mapInArrow(lambda batches: released(run(batches)), SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
+    finally:
+        spark.conf.set(sampling, before)
 
 
 def starts(shards: DataFrame) -> DataFrame:
