@@ -8,6 +8,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where it is unset, as in tests) an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may have an own one, where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,12 +57,16 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Scratch:
     """Written tables in the shared folder. They cut lineage and outlive any executor.
 
-    Results read them lazily, so they stay until the driver's Python ends, or until ``drop`` frees one.
+    Results read them lazily, so they stay until the driver's Python ends, until ``drop`` frees one, or until
+    a ``freed`` block ends in which they were made.
     """
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}", 0
         atexit.register(self.close)
+        Scratch.made.append(self)
 
     def close(self) -> None:
         try:
@@ -82,6 +89,19 @@ class Scratch:
                 remove(self.spark, path)
 
 
+@contextlib.contextmanager
+def freed() -> Iterator[None]:
+    """Deletes, at its end, what operators have written within; for results that are written by then."""
+    before = len(Scratch.made)
+    try:
+        yield
+    finally:
+        for scratch in Scratch.made[before:]:
+            scratch.close()
+            atexit.unregister(scratch.close)
+        del Scratch.made[before:]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
