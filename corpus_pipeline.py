@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: language, near duplicates, leaks, mixture, token ids."""
+"""A training corpus from raw documents: language, near duplicates, leaks, mixture, token ids.
+
+Cases: null texts, and texts without a letter, go in the first stage; a null doc_id or source keeps its row (a null
+source is a source of its own in the mixture); of equal or near equal texts one row stays, whatever its id; different
+texts under one id all stay; other columns are kept up to the last stage, which returns the columns of the token
+store; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, mixing, simhash_dedup, token_store
-from millrace.llm.common import Scratch, key_crc, table
+from millrace.llm.common import Scratch, freed, key_crc, table
 
 #: A document stays if its language's posterior is at least this.
 SURE = 0.5
@@ -53,8 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage has read and written for itself is freed once its result is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs = given = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        before = docs
+        with freed():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before is not given:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
