@@ -60,9 +60,9 @@ def vocabulary(tokens: DataFrame, doc: str, position: str, word: str, above: int
 
 def encode(tokens: DataFrame, vocab: DataFrame, doc: str, position: str, word: str) -> DataFrame:
     """(doc, words, wids): every document's tokens in order; words outside the vocabulary become UNK with the next free id."""
-    size = vocab.agg(F.coalesce(F.max("wid"), F.lit(0)).alias("size"))
-    known = tokens.join(vocab.select(F.col("word").alias("__w"), "wid"), F.col(word) == F.col("__w"), "left").crossJoin(F.broadcast(size))  # one row
-    item = F.struct(F.col(position).alias("p"), F.when(F.col("wid").isNotNull(), F.col(word)).otherwise(F.lit(UNKNOWN)).alias("w"), F.coalesce("wid", F.col("size") + 1).alias("i"))
+    size = vocab.agg(F.coalesce(F.max("wid"), F.lit(0))).first()[0]
+    known = tokens.join(vocab.select(F.col("word").alias("__w"), "wid"), F.col(word) == F.col("__w"), "left")
+    item = F.struct(F.col(position).alias("p"), F.when(F.col("wid").isNotNull(), F.col(word)).otherwise(F.lit(UNKNOWN)).alias("w"), F.coalesce("wid", F.lit(size + 1).cast("long")).alias("i"))
     ordered = F.sort_array(F.collect_list(item))
     return known.groupBy(doc).agg(ordered.alias("s")).select(doc, F.transform("s", lambda x: x["w"]).alias("words"), F.transform("s", lambda x: x["i"]).alias("wids"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,27 +112,62 @@ def top_items(df: DataFrame, item: str, n: int) -> DataFrame:
     return df.groupBy(item).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc(item)).limit(n)
 
 
-def profile(value: Column, percentiles: Sequence[float] = (0.1, 0.5, 0.75, 0.9, 0.95, 0.99)) -> list[Column]:
-    """Mean, population deviation, extremes and linearly interpolated percentiles."""
-    named = [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
-    return named + [F.percentile(value, F.lit(p)).alias(f"p{p * 100:g}".replace(".", "_")) for p in percentiles]
+def _named(p: float) -> str:
+    return f"p{p * 100:g}".replace(".", "_")
 
 
-def approximate_profile(value: Column, percentiles: Sequence[float] = (0.1, 0.5, 0.75, 0.9, 0.95, 0.99), accuracy: int = 10_000) -> list[Column]:
-    """The same from a bounded sketch, for values too many to hold all different ones in one task."""
-    named = [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
-    return named + [F.percentile_approx(value, p, accuracy).alias(f"p{p * 100:g}".replace(".", "_")) for p in percentiles]
+def percentiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., p10, ...): exact, linearly interpolated percentiles of each group, or of the whole table.
 
+    Equal values are counted first, and the counts are summed up in order over the cluster: no task holds a
+    group's values. Nulls don't count; a group without values has nulls.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = running_sum(counts, "__n", "__v", by=by, out="__upto")
+    if by:
+        total = counts.groupBy(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by))).agg(F.sum("__n").alias("__all"))
+        on = F.lit(True)
+        for i, c in enumerate(by):
+            on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+        ranked = upto.join(total, on)
+    else:
+        ranked = upto.withColumn("__all", F.lit(counts.agg(F.sum("__n")).first()[0]).cast("long"))
+    place = [F.lit(float(p)) * (F.col("__all") - 1) for p in at]
+    ends = [F.min(F.when(F.col("__upto") > f(h), F.col("__v"))).alias(f"__{n}{k}") for k, h in enumerate(place) for n, f in (("l", F.floor), ("h", F.ceil))]
+    found = ranked.groupBy(*by).agg(F.max("__all").alias("__all"), *ends)
+    return found.select(*by, *((F.col(f"__l{k}") + (F.col(f"__h{k}") - F.col(f"__l{k}")) * (h - F.floor(h))).alias(_named(p)) for k, (p, h) in enumerate(zip(at, place))))
 
-def message_sizes(value: Column) -> list[Column]:
+
+def _moments(value: Column) -> list[Column]:
+    return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+
+
+def profile(df: DataFrame, value: str, by: Sequence[str] = (), at: Sequence[float] = (0.1, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
+    """(by..., mean, std, min, max, p10, ...): mean, population deviation, extremes and exact percentiles of each group."""
+    ends = percentiles(df, value, at, by)
+    if not by:
+        found = ends.first()
+        return df.agg(*_moments(F.col(value)), *(F.lit(found[c]).cast("double").alias(c) for c in ends.columns))
+    renamed = ends.select(*(F.col(c).alias(f"__r{i}") for i, c in enumerate(by)), *(c for c in ends.columns if c not in by))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__r{i}"))
+    return df.groupBy(*by).agg(*_moments(F.col(value))).join(renamed, on, "left").drop(*(f"__r{i}" for i in range(len(by))))
+
+
+def approximate_profile(value: Column, at: Sequence[float] = (0.1, 0.5, 0.75, 0.9, 0.95, 0.99), accuracy: int = 10_000) -> list[Column]:
+    """The same as columns to aggregate, percentiles from a bounded sketch."""
+    return _moments(value) + [F.percentile_approx(value, p, accuracy).alias(_named(p)) for p in at]
+
+
+def message_sizes(df: DataFrame, size: str, by: Sequence[str] = ()) -> DataFrame:
     """``profile`` of sizes in bytes, in KB, with the median."""
-    kb = value / 1024.0
-    return [*profile(kb, (0.1, 0.5, 0.75, 0.9, 0.95, 0.99)), F.median(kb).alias("median")]
+    return profile(df.withColumn(size, F.col(size) / 1024.0), size, by).withColumn("median", F.col("p50"))
 
 
-def latencies(value_ns: Column) -> list[Column]:
+def latencies(df: DataFrame, value_ns: str, by: Sequence[str] = ()) -> DataFrame:
     """Percentiles in milliseconds; p99_9 is the 99.9th."""
-    return [F.percentile(value_ns / 1e6, F.lit(p)).alias(f"p{p * 100:g}".replace(".", "_")) for p in (0.1, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)]
+    return percentiles(df.withColumn(value_ns, F.col(value_ns) / 1e6), value_ns, (0.1, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999), by)
 
 
 def throughput_windows(df: DataFrame, time_ns: str, rows: int = WINDOW_ROWS, warm_up: int = WARM_UP) -> DataFrame:
@@ -161,12 +197,14 @@ def accuracy_at(k: int, ranked: Column, target: Column) -> Column:
 
 
 def _edits(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in words], np.int64) for words in (a, b))
+    place = np.arange(len(y) + 1)
+    row = place.copy()
+    for i, w in enumerate(x.tolist(), 1):
+        kept = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != w))])
+        row = np.minimum.accumulate(kept - place) + place  # insertions: one more for each place to the right
+    return int(row[-1])
 
 
 @F.pandas_udf(T.LongType())
@@ -181,6 +219,16 @@ def word_error_rate(df: DataFrame, reference: str, hypothesis: str) -> DataFrame
     return df.select(word_edits(reference, hypothesis).alias("e"), words.alias("w")).agg(F.sum("e").alias("edits"), F.sum("w").cast("long").alias("words"), (F.sum("e") / F.sum("w")).alias("wer"))
 
 
+def cheapest_units(df: DataFrame, cost: Column, capacity: Column, n: int, out: str = "unit_cost") -> DataFrame:
+    """The ``n`` rows of least cost for what they can do, then of least cost, with that cost; rows that can do nothing go."""
+    return df.where(capacity > 0).withColumn(out, cost / capacity).orderBy(out, cost).limit(n)
+
+
+def aggregated_telemetry(now_ns: Column, start_ns: str = "start_ns") -> dict[str, Column]:
+    """Of a group: the earliest start, and the time from it until ``now_ns``, when the group is emitted."""
+    return {"start_ns": F.min(start_ns), "latency_ns": F.max(now_ns) - F.min(start_ns)}
+
+
 def lowest_per_group(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows of each group."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import WIDTH, lag_rows, number_rows
+from ..functions.ordered import bucketed, lag_rows, number_rows
 
 
 def stamp_epochs(df: DataFrame, step: Column, order: str, ties: Sequence[str] = (), stripes: int = 1, first: int = 0, out: str = "epoch") -> DataFrame:
@@ -47,26 +47,23 @@ def tumbling(epoch: Column, width: int) -> Column:
     return (F.ceil(epoch / F.lit(width)) * width).cast("long")
 
 
-def reclock(df: DataFrame, ticks: DataFrame, time: str = "epoch", tick: str = "tick", out: str = "tick", width: int = WIDTH) -> DataFrame:
-    """Rows held until the first tick at or after their time; those after the last tick never show.
+def reclock(df: DataFrame, ticks: DataFrame, time: str = "epoch", tick: str = "tick", out: str = "tick", width: int | None = None) -> DataFrame:
+    """Rows held until the first tick at or after their time; those after the last tick, or without a time, never show.
 
-    Both inputs are cut into buckets of time; a row without a later tick in its bucket takes the first tick
-    of the next bucket that has one.
+    Both inputs are cut into the same buckets of time; a row without a later tick in its bucket takes the first
+    tick of the buckets after it, which is carried backwards over one row a bucket.
     """
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    clock = ticks.select(F.col(tick).alias("__t")).where("__t is not null").distinct().withColumn("__bucket", bucket(F.col("__t")))
-    kept = F.struct(*df.columns)
-    both = df.select(kept.alias("__row"), F.col(time).alias("__at"), F.lit(None).cast("long").alias("__t"), bucket(F.col(time)).alias("__bucket"))
-    both = both.unionByName(clock.select(F.lit(None).cast(df.schema).alias("__row"), F.col("__t").alias("__at"), F.col("__t").cast("long").alias("__t"), "__bucket"))
+    clock = ticks.select(F.col(tick).cast("long").alias("__t")).where("__t is not null").distinct()
+    both = df.where(F.col(time).isNotNull()).select(F.struct(*df.columns).alias("__row"), F.col(time).cast("long").alias("__at"), F.lit(None).cast("long").alias("__t"))
+    both = both.unionByName(clock.select(F.lit(None).cast(df.schema).alias("__row"), F.col("__t").alias("__at"), "__t"))
+    cut = bucketed(both, "__at", ["__t"], width)
     # Backwards in time, so that the frame only grows; at one time, a tick comes before the rows that it frees.
     inner = Window.partitionBy("__bucket").orderBy(F.desc("__at"), F.col("__t").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    held = both.withColumn("__next", F.min("__t").over(inner)).where("__row is not null")
-    firsts = clock.groupBy("__bucket").agg(F.min("__t").alias("__first"))
-    spans = firsts.select(F.lag("__bucket").over(Window.orderBy("__bucket")).alias("__from"), F.col("__bucket").alias("__to"), "__first")  # one row a bucket
-    near = held.where("__next is not null").select("__row", F.col("__next").alias("__o"))
-    far = held.where("__next is null").drop("__t")
-    far = far.join(spans, (far["__bucket"] < spans["__to"]) & (spans["__from"].isNull() | (far["__bucket"] >= spans["__from"]))).select("__row", F.col("__first").alias("__o"))
-    return near.unionByName(far).select("__row.*", F.col("__o").cast("long").alias(out))
+    held = cut.withColumn("__next", F.min("__t").over(inner)).where("__row is not null")
+    later = Window.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy("__bucket").agg(F.min("__t").alias("__first")).select(F.col("__bucket").alias("__b"), F.min("__first").over(later).alias("__after"))  # one row a bucket
+    found = held.join(carried, held["__bucket"] == carried["__b"]).select("__row", F.coalesce("__next", "__after").alias("__o"))
+    return found.where("__o is not null").select("__row.*", F.col("__o").alias(out))
 
 
 def extract(df: DataFrame, value: Column, epoch: str = "epoch", out: str = "rows") -> DataFrame:
