@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unary(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -38,6 +41,21 @@ def tagged(df: DataFrame, fn: Callable[[pd.DataFrame], Iterable[tuple[int, pd.Da
     return [both.where(both[tag] == n).drop(tag) for n in range(outputs)]
 
 
+def combined(inputs: Sequence[DataFrame], key: Sequence[str], fn: Callable[[tuple, list[pd.DataFrame]], Iterable[tuple[int, pd.DataFrame]]], schema: str, outputs: int, tag: str = "output") -> list[DataFrame]:
+    """Several inputs and outputs: ``fn`` sees all inputs' rows of a key and gives (output number, rows). Keys must fit in a worker's memory."""
+    columns, names = [df.columns for df in inputs], T._parse_datatype_string(schema).names
+    wide = [df.select(*key, F.lit(n).alias("__input"), F.struct(*df.columns).alias(f"__r{n}")) for n, df in enumerate(inputs)]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), wide)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame(list(group.loc[group["__input"] == n, f"__r{n}"]), columns=c) for n, c in enumerate(columns)]
+        out = [rows.assign(**{tag: n}) for n, rows in fn(tuple(group[k].iloc[0] for k in key), parts)]
+        return pd.concat(out) if out else pd.DataFrame(columns=[*names, tag])
+
+    found = both.groupBy(*key).applyInPandas(run, f"{schema}, {tag} int")
+    return [found.where(found[tag] == n).drop(tag) for n in range(outputs)]
+
+
 def sink(df: DataFrame, fn: Callable[[pd.DataFrame], None]) -> None:
     """``fn`` on the executors, for every batch."""
 

@@ -6,13 +6,13 @@ import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import fallback_lookup
 from ..sources import files
+from ..storage import exists
 from . import placement as P
 
 DEFAULT = "default"
@@ -52,7 +52,7 @@ def read_folder(spark: SparkSession, folder: str) -> Inputs:
     """Concrete workers, or (with a table of numbers) a number of each type; optional tables that aren't there are empty."""
 
     def get(name: str) -> DataFrame:
-        if name in files.OPTIONAL and not Path(f"{folder}/{name}.csv").exists():
+        if name in files.OPTIONAL and not exists(spark, f"{folder}/{name}.csv"):
             return spark.createDataFrame([], files.PLACEMENT[name])
         return files.placement_table(spark, folder, name)
 
@@ -66,9 +66,9 @@ def read_folder(spark: SparkSession, folder: str) -> Inputs:
     ratios = get("throughput_normalization_ratios")
     if "u_model" not in ratios.columns:
         ratios = ratios.select("u", "v", F.lit(DEFAULT).alias("u_model"), F.lit(DEFAULT).alias("v_model"), "ratio")
-    part = Path(f"{folder}/workers_partition.json")
-    if part.exists():
-        tiers = json.loads(part.read_text())
+    part = f"{folder}/workers_partition.json"
+    if exists(spark, part):
+        tiers = json.loads(spark.read.text(part, wholetext=True).first()[0])
     else:
         found = P.tiers_by_links(workers, get("workers_workers_link")).collect()
         tiers = [sorted(r.worker for r in found if r.tier == t) for t in sorted({r.tier for r in found})]

@@ -291,23 +291,58 @@ def sample_profile(profile: Profile, variant: str, threshold: float, limit: int
     return sorted((s for s in profile.samples[variant] if s[1] >= threshold), key=lambda s: (s[1], s[0]))[:limit]
 
 
-def interpolated(profile: Profile, points: int = 5) -> Profile:
-    """Each variant's samples and those on an even grid over them, by straight lines (operators with one input) or inverse distances."""
+def on_faces(x: np.ndarray, y: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The values at ``points`` on the faces of the Delaunay triangulation of the samples; NaN outside of their hull.
+
+    Of all simplices that hold a point, the triangulation's is the one with the least mean of squared norms at its
+    corners. A profile has tens of samples, so all simplices are tried.
+    """
+    corners = np.array(list(itertools.combinations(range(len(x)), x.shape[1] + 1)), int).reshape(-1, x.shape[1] + 1)
+    systems = np.concatenate([x[corners].transpose(0, 2, 1), np.ones((len(corners), 1, x.shape[1] + 1))], axis=1)
+    solid = np.abs(np.linalg.det(systems)) > 1e-12
+    corners, systems = corners[solid], systems[solid]
+    inverse, lifted = np.linalg.inv(systems), (x**2).sum(axis=1)[corners]
+    out = np.full(len(points), np.nan)
+    for n, point in enumerate(points):
+        shares = inverse @ np.append(point, 1.0)
+        held = np.flatnonzero((shares >= -1e-9).all(axis=1))
+        if len(held):
+            k = held[np.argmin((shares[held] * lifted[held]).sum(axis=1))]
+            out[n] = shares[k] @ y[corners[k]]
+    return out
+
+
+def on_spline(x: np.ndarray, y: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The values at ``points`` of the thin plate spline through the samples, with a linear part."""
+
+    def bent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        r = np.linalg.norm(a[:, None] - b[None], axis=2)
+        return np.where(r > 0, r**2 * np.log(np.maximum(r, 1e-300)), 0.0)
+
+    flat, n = np.column_stack([np.ones(len(x)), x]), len(x)
+    system = np.block([[bent(x, x), flat], [flat.T, np.zeros((flat.shape[1], flat.shape[1]))]])
+    weights = np.linalg.lstsq(system, np.append(y, np.zeros(flat.shape[1])), rcond=None)[0]
+    return bent(points, x) @ weights[:n] + np.column_stack([np.ones(len(points)), points]) @ weights[n:]
+
+
+def interpolated(profile: Profile, points: int = 5, method: str = "linear") -> Profile:
+    """Each variant's samples and those on an even grid over them: linear (where the grid lies within their hull), or a thin plate spline ("rbf")."""
+    if method not in ("linear", "rbf"):
+        raise ValueError(f"unknown method: {method}")
     out = {}
     for variant, samples in profile.samples.items():
         x, y = np.array([s[0] for s in samples], float), np.array([s[1] for s in samples], float)
         more: list[tuple[tuple[float, ...], float]] = []
         if x.size and x.shape[1]:
-            axes = [np.linspace(x[:, k].min(), x[:, k].max(), points) for k in range(x.shape[1])]
-            for point in itertools.product(*axes):
-                if x.shape[1] == 1:
-                    at = np.argsort(x[:, 0])
-                    value = float(np.interp(point[0], x[at, 0], y[at]))
-                else:
-                    d = np.linalg.norm(x - np.array(point), axis=1)
-                    w = 1 / np.maximum(d, 1e-12) ** 2
-                    value = float((w * y).sum() / w.sum())
-                more.append((tuple(float(p) for p in point), value))
+            grid = np.array(list(itertools.product(*(np.linspace(x[:, k].min(), x[:, k].max(), points) for k in range(x.shape[1])))))
+            if method == "rbf":
+                values = on_spline(x, y, grid)
+            elif x.shape[1] == 1:
+                at = np.argsort(x[:, 0])
+                values = np.interp(grid[:, 0], x[at, 0], y[at])
+            else:
+                values = on_faces(x, y, grid)
+            more = [(tuple(float(c) for c in point), float(v)) for point, v in zip(grid, values) if not math.isnan(v)]
         out[variant] = (*samples, *more)
     return Profile(profile.op, profile.inputs, out, profile.cost, profile.weight)
 
@@ -408,7 +443,8 @@ def tiers_by_links(workers: DataFrame, links: DataFrame) -> DataFrame:
 
     from ..operators.graph import connected_components
 
-    free = workers.select(F.col("worker").alias("src")).crossJoin(workers.select(F.col("worker").alias("dst"))).where("src < dst")
+    names = sorted(r.worker for r in workers.select("worker").distinct().collect())  # tens of workers
+    free = workers.sparkSession.createDataFrame(list(itertools.combinations(names, 2)), "src string, dst string")
     dear = links.where("cost > 0").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
     joined = free.join(dear, ["src", "dst"], "left_anti").unionByName(workers.select(F.col("worker").alias("src"), F.col("worker").alias("dst")))
     found = connected_components(joined)

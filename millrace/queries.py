@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,8 +20,8 @@ from .operators import sets as S
 from .operators import timeops as T
 from .plans import placement as P
 from .plans import workflow as W
-from .sources import event_log, inputs
-from .storage import streamed
+from .sources import event_log, files, inputs
+from .storage import shared_folder, streamed
 from .streaming import stateful, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,7 +99,7 @@ def source_closure(spark, sf):
 @query("SELECT o_orderkey, o_orderkey * 2 AS loaded FROM orders")
 def source_buffered(spark, sf):
     keys = table(spark, sf, "orders").select("o_orderkey")
-    return inputs.input_buffered(keys, lambda f: f.assign(loaded=f["o_orderkey"] * 2), "o_orderkey long, loaded long", peers=4)
+    return inputs.input_buffered(keys, lambda f: f.assign(loaded=f["o_orderkey"] * 2), "o_orderkey long, loaded long", peers=4, order="o_orderkey")
 
 
 @query("SELECT r_name AS name, 0::BIGINT AS epoch FROM region")
@@ -117,9 +118,11 @@ def source_rate(spark, sf):
     return T.arrivals(table(spark, sf, "events").select("event_id"), "event_id", 40.0).select("event_id", "arrival_ns")
 
 
-@query("SELECT o_orderkey AS question_id, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS uid FROM orders ORDER BY o_orderkey LIMIT 50")
+@query("SELECT uid::BIGINT AS uid, format('COCO_train2014_{:012d}.jpg', o_custkey) AS image_path, format('{:012d}.flac', o_orderkey) AS speech_path FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS uid FROM orders) WHERE uid < 50")
 def read_dataset_topn(spark, sf):
-    return T.sort_take_renumber(table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id")), ["question_id"], 50)
+    questions = table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), F.col("o_custkey").alias("image_id"))
+    images, speech = files.read_questions(questions, 50, "train")
+    return J.join(images, speech, "uid")
 
 
 @query(EVENTS_SQL + "SELECT epoch, array_to_string(list(event_id ORDER BY event_id), ',') AS rows FROM e GROUP BY epoch")
@@ -301,11 +304,11 @@ def hash_join(spark, sf):
     return J.join(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), nation, "s_nationkey").select("s_suppkey", "s_name", "n_name")
 
 
-@query("SELECT c.conv_id, CAST(i - 1 AS INT) AS position, c.w[i] AS l, reverse(c.w[i]) AS r FROM (SELECT conv_id, string_split(min(text), ' ') AS w FROM conversations GROUP BY 1) c, unnest(range(1, len(c.w) + 1)) t(i)")
+@query("SELECT turn_id, CAST(i - 1 AS INT) AS position, c.w[i] AS l, reverse(c.w[i]) AS r FROM (SELECT conv_id * 1000 + turn AS turn_id, string_split(text, ' ') AS w FROM conversations) c, unnest(range(1, len(c.w) + 1)) t(i)")
 def zip_positional(spark, sf):
-    words = table(spark, sf, "conversations").groupBy("conv_id").agg(F.split(F.min("text"), " ").alias("w"))
-    other = words.select("conv_id", F.transform("w", F.reverse).alias("v"))
-    return J.zip_by_position(words, other, "w", "v", "conv_id")
+    words = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.split("text", " ").alias("w"))
+    other = words.select("turn_id", F.transform("w", F.reverse).alias("v"))
+    return J.zip_by_position(words, other, "w", "v", "turn_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -425,17 +428,17 @@ def top_answers(spark, sf):
 
 @query("SELECT event_type, avg(cents) AS mean, stddev_pop(cents) AS std, min(cents)::BIGINT AS min, max(cents)::BIGINT AS max, quantile_cont(cents, 0.1) AS p10, quantile_cont(cents, 0.5) AS p50, quantile_cont(cents, 0.75) AS p75, quantile_cont(cents, 0.9) AS p90, quantile_cont(cents, 0.95) AS p95, quantile_cont(cents, 0.99) AS p99 FROM (SELECT event_type, (" + CENTS_SQL + ") AS cents FROM events) GROUP BY 1")
 def profile_percentiles(spark, sf):
-    return events(spark, sf).groupBy("event_type").agg(*A.profile(F.col("cents")))
+    return A.profile(events(spark, sf), "cents", ["event_type"])
 
 
 @query("SELECT median(kb) AS median, max(kb) AS max, quantile_cont(kb, 0.99) AS p99 FROM (SELECT strlen(html) / 1024.0 AS kb FROM pages)")
 def message_size_stats(spark, sf):
-    return table(spark, sf, "pages").agg(*A.message_sizes(F.octet_length("html").cast("double"))).select("median", "max", "p99")
+    return A.message_sizes(table(spark, sf, "pages").select(F.octet_length("html").alias("size")), "size").select("median", "max", "p99")
 
 
 @query("SELECT quantile_cont(v / 1e6, 0.5) AS p50, quantile_cont(v / 1e6, 0.999) AS p99_9 FROM (SELECT o_orderkey * 1000 AS v FROM orders)")
 def latency_stats(spark, sf):
-    return table(spark, sf, "orders").agg(*A.latencies(F.col("o_orderkey") * 1000)).select("p50", "p99_9")
+    return A.latencies(table(spark, sf, "orders").select((F.col("o_orderkey") * 1000).alias("ns")), "ns").select("p50", "p99_9")
 
 
 @query("""WITH s AS (SELECT o_orderkey * 1000 AS t, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders),
@@ -456,20 +459,37 @@ def weighted_meters(spark, sf):
     return events(spark, sf).groupBy("event_type").agg(A.weighted_mean(F.col("cents"), F.col("event_id")).alias("mean"), F.sum("cents").alias("total"), A.last_value(F.col("cents"), F.col("event_id")).alias("last"))
 
 
-@query("""WITH v AS (SELECT vec_id, label, CAST(round(embedding[i] * 1000000) AS BIGINT) AS x, i FROM embeddings, unnest(range(1, 9)) t(i)),
-r AS (SELECT vec_id, label, i - 1 AS c, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM v)
-SELECT avg(CASE WHEN k <= 1 THEN 100.0 ELSE 0 END) AS acc1, avg(CASE WHEN k <= 5 THEN 100.0 ELSE 0 END) AS acc5 FROM r WHERE c = label % 8""")
+MILLI_SQL = "list_transform(embedding, lambda v: CAST(round(v::DOUBLE * 1000) AS BIGINT))"
+
+
+@query(f"""WITH x AS (SELECT vec_id, label, {MILLI_SQL} AS e FROM embeddings),
+c AS (SELECT label AS class, list(s ORDER BY i) AS c, max(n) AS n FROM (SELECT label, i, sum(e[i])::BIGINT AS s, count(*) AS n FROM x, unnest(range(1, len(e) + 1)) t(i) GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT vec_id, label, class, row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * c[i])) / n DESC, class) AS k FROM x, c)
+SELECT avg(CASE WHEN k <= 1 THEN 100.0 ELSE 0 END) AS acc1, avg(CASE WHEN k <= 5 THEN 100.0 ELSE 0 END) AS acc5 FROM r WHERE class = label""")
 def accuracy_at_k(spark, sf):
-    e = table(spark, sf, "embeddings")
-    scores = F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double") * 1000000).cast("long"))
-    ranked = e.select(N.top_k(scores, 5).alias("top"), F.pmod(F.col("label"), F.lit(8)).cast("int").alias("target"))
+    """Every embedding scored against the mean embedding of each label."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("e"))
+    sums = e.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    classes = sums.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("c"), F.max("n").alias("n")).orderBy("label").collect()  # a row a label
+    scores = F.array(*(F.aggregate(F.zip_with("e", F.array(*(F.lit(p["s"]) for p in r.c)), lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x) / r.n for r in classes))
+    ranked = e.select(F.transform(N.top_k(scores, 5), lambda k: F.element_at(F.array(*(F.lit(r.label) for r in classes)), k + 1)).alias("top"), F.col("label").alias("target"))
     return ranked.agg(A.accuracy_at(1, F.col("top"), F.col("target")).alias("acc1"), A.accuracy_at(5, F.col("top"), F.col("target")).alias("acc5"))
 
 
-@query()
+#: The edit distance row by row: each row from the one before, then insertions from left to right.
+WER_SQL = """
+WITH p AS (SELECT list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS a, list_filter(string_split_regex(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '\\s+'), lambda w: w <> '') AS b FROM conversations),
+q AS (SELECT a, list_concat([range(0, len(b) + 1)], list_transform(a, lambda x: list_transform(b, lambda y: (x <> y)::BIGINT))) AS t FROM p WHERE b IS NOT NULL),
+e AS (SELECT len(a) AS words, list_reduce(t, lambda r, n: list_reduce(list_concat([[r[1] + 1]], list_transform(range(1, len(n) + 1), lambda j: [least(r[j + 1] + 1, r[j] + n[j])])), lambda s, m: list_append(s, least(m[1], s[len(s)] + 1))))[-1] AS edits FROM q)
+SELECT sum(edits)::BIGINT AS edits, sum(words)::BIGINT AS words, sum(edits) / sum(words) AS wer FROM e
+"""
+
+
+@query(WER_SQL)
 def word_error_rate(spark, sf):
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"))
-    return A.word_error_rate(turns, "a", "b")
+    """Every turn of a conversation against the next one."""
+    turns = table(spark, sf, "conversations").select(F.col("text").alias("a"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("b"))
+    return A.word_error_rate(turns.where("b is not null"), "a", "b")
 
 
 # Windows, order, top k.
@@ -481,16 +501,16 @@ def lowest_per_variant(spark, sf):
     return low.select("event_type", "event_id", F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")).alias("rn"))
 
 
-@query("SELECT vec_id, list_position(e, list_max(e)) - 1 AS best, array_to_string(list_transform(list_sort(list_transform(range(0, 8), lambda i: {'s': -e[i + 1], 'i': i}))[1:5], lambda p: p.i), ',') AS top FROM (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(round(x * 1000000) AS BIGINT)) AS e FROM embeddings)")
+@query("SELECT vec_id, list_position(e, list_max(e)) - 1 AS best, array_to_string(list_transform(list_sort(list_transform(range(0, len(e)), lambda i: {'s': -e[i + 1], 'i': i}))[1:5], lambda p: p.i), ',') AS top FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT)) AS e FROM embeddings)")
 def top_five(spark, sf):
-    scores = F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double") * 1000000).cast("long"))
+    scores = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long"))
     e = table(spark, sf, "embeddings").select("vec_id", scores.alias("s"))
     return e.select("vec_id", N.argmax(F.col("s")).cast("int").alias("best"), F.array_join(N.top_k(F.col("s"), 5), ",").alias("top"))
 
 
-@query("SELECT c_custkey FROM customer ORDER BY c_acctbal / (c_custkey + 1), c_acctbal LIMIT 20")
+@query("SELECT c_custkey, c_acctbal / (c_custkey + 1) AS unit_cost FROM customer ORDER BY 2, c_acctbal LIMIT 20")
 def cheapest_units(spark, sf):
-    return table(spark, sf, "customer").orderBy(F.col("c_acctbal") / (F.col("c_custkey") + 1), "c_acctbal").limit(20).select("c_custkey")
+    return A.cheapest_units(table(spark, sf, "customer"), F.col("c_acctbal"), F.col("c_custkey") + 1, 20).select("c_custkey", "unit_cost")
 
 
 # Sets.
@@ -582,9 +602,9 @@ def nested_flatten(spark, sf):
     return X.nested_pairs(nested.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey"), "o_custkey", "qas", ["l_linenumber", "l_partkey"])
 
 
-@query("SELECT vec_id, round(list_max(s), 6) AS top, round(list_sum(s), 6) AS total FROM (SELECT vec_id, list_transform(x, lambda v: exp(v) / list_sum(list_transform(x, lambda w: exp(w)))) AS s FROM (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings))")
+@query("SELECT vec_id, round(list_max(s), 6) AS top, round(list_sum(s), 6) AS total FROM (SELECT vec_id, list_transform(x, lambda v: exp(v) / list_sum(list_transform(x, lambda w: exp(w)))) AS s FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings))")
 def softmax_scores(spark, sf):
-    s = table(spark, sf, "embeddings").select("vec_id", N.softmax(F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))).alias("s"))
+    s = table(spark, sf, "embeddings").select("vec_id", N.softmax(F.transform("embedding", lambda v: v.cast("double"))).alias("s"))
     return s.select("vec_id", F.round(F.array_max("s"), 6).alias("top"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
@@ -694,10 +714,15 @@ def binary_custom(spark, sf):
     return generic.binary(left, right, ["key"], lambda a, b: pd.DataFrame({"key": [int((a if len(a) else b)["key"].iloc[0])], "l": [len(a)], "r": [len(b)]}), "key long, l long, r long")
 
 
-@query("SELECT o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, count(*)::BIGINT AS n, count(*) FILTER (price < before)::BIGINT AS falls FROM (SELECT o_orderpriority, o_totalprice AS price, lag(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS before FROM orders) GROUP BY 1")
 def ordered_fold(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey")
-    return folds.fold_ordered(rows, ["o_orderpriority"], ["o_orderkey"], lambda: 0, lambda s, r: (s + 1, []), "o_orderpriority string, n long", finish=lambda key, s: [{"o_orderpriority": key[0], "n": s}])
+    rows = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+
+    def step(state, row):
+        n, falls, last = state
+        return (n + 1, falls + (last is not None and row["o_totalprice"] < last), row["o_totalprice"]), []
+
+    return folds.fold_ordered(rows, ["o_orderpriority"], ["o_orderkey"], lambda: (0, 0, None), step, "o_orderpriority string, n long, falls long", finish=lambda key, s: [{"o_orderpriority": key[0], "n": s[0], "falls": s[1]}])
 
 
 # Streams: the same operators over the event table as an unbounded input.
@@ -749,14 +774,54 @@ def stream_distinct(spark, sf):
     return found.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "user_id")
 
 
-@query("SELECT event_id, user_id FROM events")
+@query(EVENTS_SQL + "SELECT event_type = 'click' AS streamed, epoch, array_to_string(list(event_id ORDER BY event_id), ',') AS ids FROM e GROUP BY 1, 2")
 def capture_replay(spark, sf):
-    return streamed(_event_stream(spark, sf).select("event_id", "user_id"), "stream-log")
+    """Clicks are captured from a stream, all else in two batches; both logs are replayed and extracted by epoch."""
+    folder = shared_folder(spark, "capture")
+    day = F.datediff("ts", F.lit("2024-01-01").cast("date")).cast("long").alias("epoch")
+    clicks = _event_stream(spark, sf).where("event_type = 'click'").select("event_id", day, F.lit(True).alias("streamed"))
+    event_log.capture_stream(clicks, f"{folder}/clicks", f"{folder}/state").awaitTermination()
+    other = events(spark, sf).where("event_type <> 'click'").select("event_id", "epoch", F.lit(False).alias("streamed"))
+    for part in R.branch(other, F.col("epoch") >= 15):
+        event_log.capture(part, f"{folder}/other")
+    logs = event_log.replay(spark, f"{folder}/clicks", f"{folder}/other")
+    found = [event_log.extract(logs.where(F.col("streamed") == s), F.col("event_id")).withColumn("streamed", F.lit(s)) for s in (True, False)]
+    return S.concatenate(found).select("streamed", "epoch", F.array_join("rows", ",").alias("ids"))
 
 
-@query("SELECT unnest(range(0, 100))::BIGINT AS value")
+@query("SELECT event_id, user_id FROM events")
+def replay_stream(spark, sf):
+    """Two logs replayed as one stream, a file a micro-batch."""
+    folder, rows = shared_folder(spark, "replay"), table(spark, sf, "events").select("event_id", "user_id")
+    for n, part in enumerate(R.partition(rows, 2, R.route(F.col("event_id"), 2))):
+        event_log.capture(part, f"{folder}/{n}")
+    return streamed(event_log.replay_stream(spark, rows.schema, f"{folder}/0", f"{folder}/1"), "replayed")
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click'")
+def capture_into_table(spark, sf):
+    """The small result of a stream in a table in memory."""
+    name = f"captured_{uuid.uuid4().hex[:12]}"
+    event_log.capture_into(_event_stream(spark, sf).where("event_type = 'click'").select("event_id", (F.col("cents") / 100).alias("value")), name).awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT range::BIGINT AS value, (range * range)::BIGINT AS square, (range // 64)::BIGINT AS batch FROM range(0, 1000)")
 def stream_pull_source(spark, sf):
-    return streamed(inputs.iterator_source(spark, 100, 100), "stream-pull").distinct()
+    """A thousand rows, pulled 64 at a time; each micro-batch is marked by its number."""
+    folder, seen = shared_folder(spark, "pulled"), []
+
+    def keep(rows: DataFrame, n: int) -> None:
+        rows.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+        seen.append(n)
+
+    source = inputs.pull_source(spark, lambda at, most: [(i, i * i) for i in range(at, min(at + most, 1000))], "value long, square long", 64)
+    running = source.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").start()
+    try:
+        streams.step_until_done(running)
+    finally:
+        running.stop()
+    return spark.read.parquet(*(f"{folder}/rows/batch={n}" for n in sorted(set(seen))))
 
 
 # Placement and workflows.
@@ -788,9 +853,9 @@ def _plan(spark):
 @query(PLAN_SQL + "SELECT round(sum(CASE WHEN ut < vt THEN 0.1 * kb * 3600 / 1024 / 1024 ELSE 0 END), 9) AS communication_cost FROM f")
 def comm_cost(spark, sf):
     _, tiers, traffic = _plan(spark)
-    low, high = (tiers.where(F.col("tier") == t).select("worker") for t in (0, 1))
-    links = low.select(F.col("worker").alias("a")).crossJoin(high.select(F.col("worker").alias("b"))).withColumn("cost", F.lit(1.0))
-    source_links = spark.createDataFrame([("read_image",), ("read_speech",)], "source string").crossJoin(high).withColumn("cost", F.lit(1.0))
+    low, high = ([w for w, _, tier in PRICES if tier == t] for t in (0, 1))
+    links = spark.createDataFrame([(a, b, 1.0) for a in low for b in high], "a string, b string, cost double")
+    source_links = spark.createDataFrame([(u, b, 1.0) for u in ("read_image", "read_speech") for b in high], "source string, worker string, cost double")
     # Backward traffic (from gpu-1 to none here) would be infinitely dear; the transcript goes up from cpu-3 only.
     return P.communication_cost_query(traffic, links, source_links, scale=0.1).select(F.round("communication_cost", 9).alias("communication_cost"))
 
@@ -826,10 +891,10 @@ def weighted_balance(spark, sf):
 
 
 @query("""SELECT vec_id AS uid, ((((list_sum(list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT))) + length(lower(text))) % 10) + 10) % 10)::BIGINT AS answer
-FROM embeddings JOIN (SELECT conv_id, min(text) AS text FROM conversations GROUP BY 1) ON conv_id = vec_id""")
+FROM embeddings JOIN conversations ON conv_id = vec_id""")
 def vqa_workflow(spark, sf):
     features = table(spark, sf, "embeddings").select(F.col("vec_id").alias("uid"), F.transform("embedding", lambda x: x.cast("double")).alias("feature"))
-    questions = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("uid")).agg(F.min("text").alias("text"))
+    questions = table(spark, sf, "conversations").select(F.col("conv_id").alias("uid"), "text")
     return W.question_answering(features, questions).answers.frame
 
 
@@ -839,3 +904,6 @@ def two_stage_flow(spark, sf):
     a = flow.input("Orders", table(spark, sf, "orders")).filter("Large", F.col("o_totalprice") > 100000).map("Key", o_orderkey=F.col("o_orderkey"))
     b = flow.input("Lines", table(spark, sf, "lineitem")).filter("Large", F.col("l_quantity") > 45).map("Key", o_orderkey=F.col("l_orderkey"))
     return a.union("Both", b).frame
+
+
+from . import queries_io, queries_plans  # noqa: E402, F401  they register theirs

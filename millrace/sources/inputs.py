@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import base64
 import json
+import pickle
 import time
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from ..functions.ordered import number_rows
 from ..operators.timeops import stamp_epochs
 
 
@@ -55,15 +59,21 @@ def input_from_source_distributed(df: DataFrame, advance: Column, order: str, pe
     return stamp_epochs(df, advance, order, stripes=peers, out=epoch)
 
 
-def input_buffered(metadata: DataFrame, load: Callable[[pd.DataFrame], pd.DataFrame], schema: str, peers: int | None = None, buffer: int = 512) -> DataFrame:
-    """Loads the data that metadata rows name, ``buffer`` rows at a time; with ``peers``, spread over so many workers."""
+def input_buffered(metadata: DataFrame, load: Callable[[pd.DataFrame], pd.DataFrame], schema: str, peers: int | None = None, buffer: int = 512, order: str | None = None) -> DataFrame:
+    """Loads the data that metadata rows name, ``buffer`` rows at a time; with ``peers``, spread over so many workers (row i in ``order`` to worker i mod peers, or evenly)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), buffer):
                 yield load(frame.iloc[at : at + buffer])
 
-    return (metadata.repartition(peers) if peers else metadata).mapInPandas(run, schema)
+    spread = metadata
+    if peers and order:
+        peer = F.pmod(F.col("__row") - 1, F.lit(peers)).cast("int")
+        spread = number_rows(metadata, order, out="__row").withColumn("__peer", peer).drop("__row").repartitionById(peers, "__peer").drop("__peer")
+    elif peers:
+        spread = metadata.repartition(peers)
+    return spread.mapInPandas(run, schema)
 
 
 class Handle:
@@ -106,38 +116,45 @@ class Handle:
         return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(self.folder)
 
 
-class _IteratorReader(SimpleDataSourceStreamReader):
+class _PullReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
-        self.total, self.step = int(options.get("rows", 100)), int(options.get("rowsPerTrigger", 10))
+        self.pull, self.step = pickle.loads(base64.b64decode(options["pull"])), int(options["rowsPerTrigger"])
 
     def initialOffset(self) -> dict:
         return {"at": 0}
 
     def read(self, start: dict):
-        stop = min(start["at"] + self.step, self.total)
-        return self.readBetweenOffsets(start, {"at": stop}), {"at": stop}
+        rows = list(self.pull(start["at"], self.step))
+        return iter(rows), {"at": start["at"] + len(rows)}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([(i,) for i in range(start["at"], end["at"])])
+        return iter(self.pull(start["at"], end["at"] - start["at"]))
 
 
-class CountingSource(DataSource):
-    """A pull source of the numbers below ``rows``, no more than ``rowsPerTrigger`` for each micro-batch: it doesn't run ahead of what has been completed."""
+class PullSource(DataSource):
+    """Rows of any kind, pulled by a function of (place, at most so many) that gives the same rows whenever it is asked again."""
 
     @classmethod
     def name(cls) -> str:
-        return "counting"
+        return "pull"
 
     def schema(self) -> str:
-        return "value long"
+        return self.options["rowSchema"]
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _IteratorReader(self.options)
+        return _PullReader(self.options)
+
+
+def pull_source(spark: SparkSession, pull: Callable[[int, int], Iterable[tuple]], schema: str, rows_per_trigger: int) -> DataFrame:
+    """A stream that takes no more than ``rows_per_trigger`` rows for each micro-batch: it doesn't run ahead of what has been completed."""
+    spark.dataSource.register(PullSource)
+    packed = base64.b64encode(cloudpickle.dumps(pull)).decode()
+    return spark.readStream.format("pull").option("pull", packed).option("rowSchema", schema).option("rowsPerTrigger", rows_per_trigger).load()
 
 
 def iterator_source(spark: SparkSession, rows: int, rows_per_trigger: int) -> DataFrame:
-    spark.dataSource.register(CountingSource)
-    return spark.readStream.format("counting").option("rows", rows).option("rowsPerTrigger", rows_per_trigger).load()
+    """The numbers below ``rows`` as a pulled stream."""
+    return pull_source(spark, lambda at, most: [(i,) for i in range(at, min(at + most, rows))], "value long", rows_per_trigger)
 
 
 def rate_source(spark: SparkSession, rows_per_second: int) -> DataFrame:

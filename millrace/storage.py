@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of its own only for a local session where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -22,9 +24,14 @@ def checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def streamed(df: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what is there now and reads back what it wrote to the shared folder."""
-    spark, root = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    spark, root = df.sparkSession, shared_folder(df.sparkSession, name)
     df.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/rows")
 
@@ -33,3 +40,8 @@ def settle(df: DataFrame) -> DataFrame:
     """The rows of ``df`` with its lineage cut."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
