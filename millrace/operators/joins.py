@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,17 +42,25 @@ def _sides(left: DataFrame, right: DataFrame, key: Sequence[str], order: str) ->
 
 
 def concat_join(left: DataFrame, right: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """(l, r): single-item pairs in order of arrival (ties: left first)."""
-    both, schema = _sides(left, right, key, order)
-
-    def step(waiting, row):
-        side, own = row["__s"], row["l"] if row["__s"] == 0 else row["r"]
-        if waiting is not None and waiting[0] != side:
-            pair = (waiting[1], own) if side else (own, waiting[1])
-            return None, [{"l": pair[0], "r": pair[1]}]
-        return (side, own), []
-
-    return fold_ordered(both, key, ["__o", "__s"], lambda: None, step, schema)
+    """(l, r): single-item pairs in order of arrival (ties: left first).
+
+    Pairs form only where the side changes: the last row of a run of one side waits, unless it was itself
+    consumed. A run of two rows or more always leaves one waiting; after runs of a single row, one waits after every
+    other of them. So windows over a key's rows say it all, in one shuffle.
+    """
+    both, _ = _sides(left, right, key, order)
+    arrival = Window.partitionBy(*key).orderBy("__o", "__s")
+    side, before = F.col("__s"), F.lag("__s").over(arrival)
+    turns = both.select(
+        *key, "__s", "l", "r", F.row_number().over(arrival).alias("__n"), (before.isNull() | (before != side)).alias("__new"),
+        F.lag("l").over(arrival).alias("__l"), F.lag("r").over(arrival).alias("__r"),
+    ).where("__new")
+    by_run = Window.partitionBy(*key).orderBy("__n")
+    runs = turns.withColumn("__run", F.row_number().over(by_run)).withColumn("__long", F.col("__n") - F.lag("__n").over(by_run) >= 2)
+    last_long = F.max(F.when(F.col("__long"), F.col("__run") - 1)).over(by_run.rowsBetween(Window.unboundedPreceding, 0))
+    waits = F.when(last_long.isNotNull(), (F.col("__run") - 1 - last_long) % 2 == 0).otherwise(F.col("__run") % 2 == 0)
+    pairs = runs.withColumn("__waits", waits).where("__waits")
+    return pairs.select(F.when(side == 1, F.col("__l")).otherwise(F.col("l")).alias("l"), F.when(side == 1, F.col("r")).otherwise(F.col("__r")).alias("r"))
 
 
 def concat_unique(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
