@@ -105,21 +105,49 @@ def spanning_roots(edges: DataFrame, src: str = "src", dst: str = "dst") -> Data
     return connected_components(edges, src, dst).where("node <> component").withColumnRenamed("component", "root")
 
 
+def _placed(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, DataFrame]:
+    """(s, d, n, k, degree): each different edge, how often it is given, its place among the node's edges and their number; and the nodes."""
+    counted = edges.groupBy(F.col(src).alias("s"), F.col(dst).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    degrees = counted.groupBy(F.col("s").alias("of")).agg(F.count(F.lit(1)).alias("degree"))
+    placed = number_rows(counted, "d", by=["s"], out="k").withColumn("k", F.col("k") - 1)
+    out = settle(placed.join(degrees, F.col("s").eqNullSafe(F.col("of"))).drop("of"))
+    return out, out.select(F.col("s").alias("node")).union(out.select("d")).distinct()
+
+
+def _share(rank: str) -> Column:
+    """What an edge is sent of its node's rank."""
+    spread = F.floor(F.col(rank) * 5 / 6).cast("long")
+    return (F.floor(spread / F.col("degree")) + F.when(F.col("k") < spread % F.col("degree"), 1).otherwise(0)) * F.col("n")
+
+
+def pagerank_incremental(edges: DataFrame, rounds: int | None = None, src: str = "src", dst: str = "dst", base: int = 1000, least: int = 6) -> DataFrame:
+    """(node, rank): ``pagerank`` by changes. A node keeps what it is sent until that changes its rank by ``least``; only nodes of new rank send, and what they send is the difference.
+
+    Ends when no rank changes, or after ``rounds``.
+    """
+    out, nodes = _placed(edges, src, dst)
+    state = settle(nodes.select("node", F.lit(0).cast("long").alias("before"), F.lit(base).cast("long").alias("rank"), F.lit(base).cast("long").alias("total")))
+    n = 0
+    while rounds is None or n < rounds:
+        changed = state.where("rank <> before").select(F.col("node").alias("of"), "before", "rank")
+        if changed.isEmpty():
+            break
+        sent = out.join(changed, F.col("s") == F.col("of")).groupBy(F.col("d").alias("to")).agg(F.sum(_share("rank") - _share("before")).alias("got"))
+        grown = state.join(sent, F.col("node") == F.col("to"), "left").select("node", "rank", (F.col("total") + F.coalesce("got", F.lit(0))).alias("total"))
+        after = F.when(F.abs(F.col("total") - F.col("rank")) >= least, F.col("total")).otherwise(F.col("rank"))
+        state, n = settle(grown.select("node", F.col("rank").alias("before"), after.cast("long").alias("rank"), F.col("total").cast("long").alias("total"))), n + 1
+    return state.select("node", "rank")
+
+
 def pagerank(edges: DataFrame, rounds: int = 10, src: str = "src", dst: str = "dst", base: int = 1000) -> DataFrame:
     """(node, rank) in whole numbers: five sixths of a node's rank go to its neighbours, the remainder of the division to the first of them in order.
 
     Every rank starts at ``base`` and is ``base`` plus what the node is sent. An edge given twice counts twice.
     """
-    counted = edges.groupBy(F.col(src).alias("s"), F.col(dst).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    degrees = counted.groupBy(F.col("s").alias("of")).agg(F.count(F.lit(1)).alias("degree"))
-    placed = number_rows(counted, "d", by=["s"], out="k").withColumn("k", F.col("k") - 1)
-    out = settle(placed.join(degrees, F.col("s").eqNullSafe(F.col("of"))).drop("of"))
-    nodes = out.select(F.col("s").alias("node")).union(out.select("d")).distinct()
+    out, nodes = _placed(edges, src, dst)
     ranks = settle(nodes.select("node", F.lit(base).cast("long").alias("rank")))
-    spread = F.floor(F.col("rank") * 5 / 6).cast("long")
-    share = (F.floor(spread / F.col("degree")) + F.when(F.col("k") < spread % F.col("degree"), 1).otherwise(0)) * F.col("n")
     for _ in range(rounds):
-        sent = out.join(ranks, out["s"] == ranks["node"]).groupBy(F.col("d").alias("to")).agg(F.sum(share).alias("got"))
+        sent = out.join(ranks, out["s"] == ranks["node"]).groupBy(F.col("d").alias("to")).agg(F.sum(_share("rank")).alias("got"))
         ranks = settle(ranks.join(sent, F.col("node") == F.col("to"), "left").select("node", (F.lit(base) + F.coalesce("got", F.lit(0))).cast("long").alias("rank")))
     return ranks
 

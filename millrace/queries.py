@@ -688,6 +688,18 @@ def pagerank_int(spark, sf):
     return G.pagerank(e.union(e.select("dst", "src")).distinct(), rounds=10)
 
 
+@query("""WITH RECURSIVE """ + EDGES_SQL + """, d AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS deg FROM b UNION ALL SELECT DISTINCT src, src, -1, 1 FROM b),
+r AS (SELECT DISTINCT 0 AS i, src AS node, 1000::BIGINT AS rank FROM b
+ UNION ALL SELECT i + 1, node, CASE WHEN abs(total - own) >= 6 THEN total ELSE own END::BIGINT FROM (
+  SELECT r.i, d.dst AS node, max(CASE WHEN d.k < 0 THEN r.rank END) AS own, 1000 + sum(CASE WHEN d.k < 0 THEN 0 ELSE (r.rank * 5 // 6) // d.deg + CASE WHEN d.k < (r.rank * 5 // 6) % d.deg THEN 1 ELSE 0 END END) AS total
+  FROM r JOIN d ON d.src = r.node WHERE r.i < 10 GROUP BY r.i, d.dst))
+SELECT node, rank FROM r WHERE i = 10""")
+def pagerank_by_changes(spark, sf):
+    """Ranks that move only by six or more."""
+    e = _edges(spark, sf)
+    return G.pagerank_incremental(e.union(e.select("dst", "src")).distinct(), rounds=10)
+
+
 @query("SELECT n_regionkey, array_to_string(list(n_nationkey ORDER BY n_nationkey), ',') AS neighbours FROM nation GROUP BY 1")
 def adjacency_lists(spark, sf):
     return G.adjacency(table(spark, sf, "nation"), "n_regionkey", "n_nationkey").select("n_regionkey", F.array_join("neighbours", ",").alias("neighbours"))
