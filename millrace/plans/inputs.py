@@ -14,6 +14,7 @@ from ..operators.joins import fallback_lookup
 from ..sources import files
 from ..storage import exists
 from . import placement as P
+from .tiers import partition_workers
 
 DEFAULT = "default"
 
@@ -48,8 +49,11 @@ class Inputs:
     names: dict[str, str] = field(default_factory=dict)  # worker to type
 
 
-def read_folder(spark: SparkSession, folder: str) -> Inputs:
-    """Concrete workers, or (with a table of numbers) a number of each type; optional tables that aren't there are empty."""
+def read_folder(spark: SparkSession, folder: str, partition: str | None = None, tiers: int = 2) -> Inputs:
+    """Concrete workers, or (with a table of numbers) a number of each type; optional tables that aren't there are empty.
+
+    Tiers are those of the partition file, else those that the strategy ``partition`` finds, else the workers that free links join.
+    """
 
     def get(name: str) -> DataFrame:
         if name in files.OPTIONAL and not exists(spark, f"{folder}/{name}.csv"):
@@ -68,11 +72,13 @@ def read_folder(spark: SparkSession, folder: str) -> Inputs:
         ratios = ratios.select("u", "v", F.lit(DEFAULT).alias("u_model"), F.lit(DEFAULT).alias("v_model"), "ratio")
     part = f"{folder}/workers_partition.json"
     if exists(spark, part):
-        tiers = json.loads(spark.read.text(part, wholetext=True).first()[0])
+        found = json.loads(spark.read.text(part, wholetext=True).first()[0])
+    elif partition:
+        found = partition_workers({r.worker: r.cost for r in workers.collect()}, {(r.a, r.b): r.cost for r in get("workers_workers_link").collect()}, partition, tiers)
     else:
-        found = P.tiers_by_links(workers, get("workers_workers_link")).collect()
-        tiers = [sorted(r.worker for r in found if r.tier == t) for t in sorted({r.tier for r in found})]
-    return Inputs(workers, tiers, get("logical_graph"), get("execution_profile"), get("message_sizes"), get("input_injection_rates"), get("workers_workers_link"), get("sources_workers_link"), ratios, by_type, names)
+        rows = P.tiers_by_links(workers, get("workers_workers_link")).collect()
+        found = [sorted(r.worker for r in rows if r.tier == t) for t in sorted({r.tier for r in rows})]
+    return Inputs(workers, found, get("logical_graph"), get("execution_profile"), get("message_sizes"), get("input_injection_rates"), get("workers_workers_link"), get("sources_workers_link"), ratios, by_type, names)
 
 
 def with_variants(spark: SparkSession, inputs: Inputs, variants: dict[str, str], settings: Settings) -> P.Problem:
