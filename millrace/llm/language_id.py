@@ -31,6 +31,8 @@ SMOOTH = 0.1
 FIT_ROWS = 4_000
 #: Characters of a long text that are hashed at once, and numbers of the matrix that are gathered at once.
 BLOCK, CELLS = 1 << 18, 1 << 20
+#: Languages whose rates (some bytes each) are broadcast at most.
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 
 
@@ -126,7 +128,8 @@ def fit(docs: DataFrame, use: Column, rows: int = FIT_ROWS, doc_id: str = "doc_i
         return [], np.zeros((BUCKETS, 0), np.float32)
     rate = docs.sparkSession.createDataFrame(share, "lang string, rate double")
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    sample = own.withColumn("hashed", hashed).join(rate, "lang").where(F.col("hashed") < F.col("rate")).select("lang", "text")
+    rate = F.broadcast(rate) if len(share) <= BROADCAST_LANGUAGES else rate
+    sample = own.withColumn("hashed", hashed).where(F.col("hashed") < max(r for _, r in share)).join(rate, "lang").where(F.col("hashed") < F.col("rate")).select("lang", "text")
 
     def count(batches):
         """A row a language; the rows come language by language."""
