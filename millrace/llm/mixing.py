@@ -1,14 +1,15 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame operations only.
 
-Each document has a fixed 48-bit hash of its id. A source that shall give q whole passes and r words
+Each document has a fixed 48-bit hash of its id and text. A source that shall give q whole passes and r words
 more takes every document q times, and once more those whose hash lies under the source's threshold.
 The threshold is found without sorting: words are summed by source and hash bucket, the running sums of
 the bounded number of buckets show in which bucket the budget ends, and only the rows of that bucket are
 dealt to finer buckets, level after level. Budgets nest: a larger budget only adds documents.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; documents of one
-hash (repeated ids) at the threshold share what is left in proportion to their sizes; sources without
-words get target 0; an empty table gives an empty result; a null id hashes like the empty text.
+hash (copies under one id) at the threshold share what is left in proportion to their sizes; a null id hashes like the
+empty text, so that one id, or null, may have a third of all rows; sources without words get target 0; a very long text
+counts whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ BROADCAST_SOURCES = 50_000
 
 
 def size_and_hash() -> tuple[Column, Column]:
-    """``size``: words of ``text``; ``h``: the hash of ``doc_id`` in hex digits."""
+    """``size``: words of ``text``; ``h``: the hash of ``doc_id`` and ``text`` in hex digits."""
+    both = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
     return (
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS).alias("h"),
+        F.substring(F.md5(both.cast("binary")), 1, DIGITS * LEVELS).alias("h"),
     )
 
 

@@ -41,8 +41,10 @@ def test_meets_targets(spark):
     rows = [(i, " ".join("w" * (i * 7 % 90)), f"s{i % 11}" if i % 3 else "hot") for i in range(700)] + [(900, None, "s1"), (901, "x y", None), (902, "", "empty"), (None, "a b c", "s2")]
     got = run(spark, rows)
     passes = {r.doc_id: r.taken / r.size for r in got if r.size and r.source == "hot"}
-    cut = [hashlib.md5(str(k).encode()).hexdigest()[:12] for k, p in passes.items() if p > min(passes.values())]
-    rest = [hashlib.md5(str(k).encode()).hexdigest()[:12] for k, p in passes.items() if p == min(passes.values())]
+    text = {k: t for k, t, _ in rows}
+    place = lambda k: hashlib.md5(f"{k}:{hashlib.md5(text[k].encode()).hexdigest()}".encode()).hexdigest()[:12]
+    cut = [place(k) for k, p in passes.items() if p > min(passes.values())]
+    rest = [place(k) for k, p in passes.items() if p == min(passes.values())]
     assert not cut or max(cut) < min(rest)
 
 
@@ -51,6 +53,18 @@ def test_repeated_ids_share(spark):
     run(spark, [(1, "a b c", "x")] * 50 + [(2, "a", "y"), (3, "b c", "z")], near=50)
 
 
+def test_one_id_with_many_texts(spark):
+    """Rows of one id, or of none, are taken by their texts, not all at once."""
+    rows = [(None, f"w{i} b c", "x") for i in range(300)] + [(7, f"w{i} d", "x") for i in range(300)] + [(i, "a " * 9, f"y{i % 4}") for i in range(80)]
+    got = run(spark, rows)
+    kept = [r.taken for r in got if r.source == "x" and r.doc_id is None]
+    assert len(set(kept)) > 1 or set(kept) == {9}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = sum(len(r.text.split()) for r in M.mixed_rows(spark, docs).where("source = 'x'").collect())
+    target = next(r.target for r in got if r.source == "x")
+    assert abs(words - target) <= 3
+
+
 def test_one_source_and_empty(spark):
     run(spark, [(1, "a b", None), (2, "c", None)])
     assert M.mix(spark, spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
