@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -202,12 +203,23 @@ def question_answering(features: DataFrame, questions: DataFrame, classes: int =
     return flow
 
 
-def replicated_run(df: DataFrame, stages: Sequence[Callable[[DataFrame], DataFrame]], times: int = 3) -> list[DataFrame]:
-    """The comparison baseline: all stages in one pass over the rows, so many times."""
+def replicated_run(df: DataFrame, stages: Sequence[Callable[[DataFrame], DataFrame]], times: int = 3, single: bool = False) -> list[DataFrame]:
+    """The comparison baselines: all stages in one pass over the rows, so many times; ``single``: in one task, as one thread would."""
     out = []
     for _ in range(times):
-        frame = df
+        frame = df.coalesce(1) if single else df
         for stage in stages:
             frame = stage(frame)
         out.append(frame)
     return out
+
+
+def measured(runs: Sequence[DataFrame], instances: int) -> list[tuple[float, float]]:
+    """(seconds, instances a second) of computing each run's whole result, one after another."""
+    out = []
+    for frame in runs:
+        began = time.perf_counter()
+        frame.write.format("noop").mode("overwrite").save()
+        seconds = time.perf_counter() - began
+        out.append((seconds, instances / seconds))
+    return out

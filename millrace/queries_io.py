@@ -411,3 +411,31 @@ def replicated_baseline(spark, sf):
     stages = [lambda f: f.withColumn("value", F.col("o_orderkey") * 2), lambda f: f.withColumn("value", F.col("value") + 1)]
     runs = W.replicated_run(table(spark, sf, "orders").select("o_orderkey"), stages, 3)
     return S.concatenate([f.withColumn("run", F.lit(n)) for n, f in enumerate(runs)])
+
+
+@query("SELECT o_orderkey, o_orderkey * 2 + 1 AS value FROM orders")
+def single_thread_baseline(spark, sf):
+    """The same stages in one task; both kinds of run are measured."""
+    stages = [lambda f: f.withColumn("value", F.col("o_orderkey") * 2), lambda f: f.withColumn("value", F.col("value") + 1)]
+    rows = table(spark, sf, "orders").select("o_orderkey")
+    runs = W.replicated_run(rows, stages, 1, single=True)
+    if any(seconds <= 0 or rate <= 0 for seconds, rate in W.measured(runs, rows.count())):
+        raise ValueError("a run took no time")
+    return runs[0]
+
+
+@query("SELECT n_regionkey * 10 AS day, count(*)::BIGINT AS n FROM nation GROUP BY 1")
+def late_rows(spark, sf):
+    """Rows that come once the watermark has passed their epoch are dropped: each region's rows come ten days after the one before, then the first region's come again."""
+    handle = inputs.Handle(spark, f"{shared_folder(spark, 'late')}/rows", "name string, day int")
+    nations = sorted(((r.n_regionkey, r.n_name) for r in table(spark, sf, "nation").collect()))  # 25
+    for region, name in nations:
+        handle.advance_to(region)
+        handle.send(name, region * 10)
+    for n, (name, day) in enumerate([*((name, 0) for region, name in nations if region == 0), ("end", 100), ("end", 200)]):
+        handle.advance_to(10 + n)
+        handle.send(name, day)
+    handle.close()
+    timed = handle.stream().withColumn("ts", (F.lit(1704067200) + F.col("day") * 86400).cast("timestamp"))
+    found = streams.timestamp_aggregate_stream(timed, "ts", "1 day", "0 seconds", ["day"], n=F.count(F.lit(1)))
+    return streamed(found, "late").where("day < 100").select("day", "n")

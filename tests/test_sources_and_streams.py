@@ -193,3 +193,13 @@ def test_metrics_listener(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(seen)
     assert sum(r.rows for r in seen.frame(spark).collect()) == 12 and '"query": "metered"' in metrics.to_json(seen)
+
+
+def test_runs_are_measured(spark):
+    from millrace.plans import workflow as W
+
+    rows = spark.range(1000)
+    runs = W.replicated_run(rows, [lambda f: f.selectExpr("id + 1 AS id")], 2) + W.replicated_run(rows, [lambda f: f.selectExpr("id + 1 AS id")], 1, single=True)
+    found = W.measured(runs, 1000)
+    assert len(found) == 3 and all(abs(rate * seconds - 1000) < 1e-6 for seconds, rate in found)
+    assert runs[2].rdd.getNumPartitions() == 1 and runs[2].agg({"id": "sum"}).first()[0] == 500500
