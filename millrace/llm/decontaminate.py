@@ -60,8 +60,12 @@ def spread(row: np.ndarray, term: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return np.repeat(row, size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[term], size)
 
 
-def summed(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, ascending, and the sums of their weights."""
+def summed(key: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (below ``size``), ascending, and the sums of their positive weights; memory is in proportion to the number of keys."""
+    if size <= 4 * len(key):
+        sums = np.bincount(key, weights=weight, minlength=size)
+        keys = np.flatnonzero(sums)
+        return keys, sums[keys]
     keys, at = np.unique(key, return_inverse=True)
     return keys, np.bincount(at, weights=weight, minlength=len(keys))
 
@@ -134,10 +138,12 @@ class Index:
             width = end[some] - start[some]
             row = np.repeat(np.arange(len(some)), width)
             place = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width) + start[some][row]
-            key = np.unique(row * len(self.first) + terms[place])  # a term counts once a passage
+            found = terms[place]
+            row, found = row[found != other], found[found != other]
+            key = np.unique(row * len(self.first) + found)  # a term counts once a passage
             row, term = key // len(self.first), key % len(self.first)
             of, posting = spread(row, term, self.block_first)
-            reach, upper = summed(of * self.blocks + self.block[posting], self.block_max[posting])
+            reach, upper = summed(of * self.blocks + self.block[posting], self.block_max[posting], len(some) * self.blocks)
             reach = reach[upper >= least]
             if not len(reach):
                 continue
@@ -145,10 +151,10 @@ class Index:
             of, posting = spread(row[alive], term[alive], self.first)
             cell = of * self.blocks + self.item[posting] // BLOCK_ITEMS
             use = reach[np.minimum(np.searchsorted(reach, cell), len(reach) - 1)] == cell
-            pair, scores = summed(of[use] * n + self.item[posting[use]], self.impact[posting[use]])
+            pair, scores = summed(of[use] * n + self.item[posting[use]], self.impact[posting[use]], len(some) * n)
             for k in np.flatnonzero(scores >= least).tolist():
-                found = (int(owner[some[pair[k] // n]]), int(pair[k] % n))
-                best[found] = max(best.get(found, 0.0), float(scores[k]))
+                match = (int(owner[some[pair[k] // n]]), int(pair[k] % n))
+                best[match] = max(best.get(match, 0.0), float(scores[k]))
         return [(d, i, s) for (d, i), s in sorted(best.items())]
 
     def verified(self, item: int, own: set[bytes], words: set[bytes]) -> bool:
