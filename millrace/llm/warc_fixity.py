@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -72,7 +73,7 @@ def record(key: Column, url: Column, body: Column, date: str = DATE) -> Column:
 def fields(headers: dict[str, str]) -> tuple[int | None, str | None]:
     """(key, url) of a record's headers."""
     key, target = headers.get(KEY.lower()), headers.get("warc-target-uri", "")
-    return int(key) if key else None, target if target and f"<{target}>" != headers.get("warc-record-id") else None
+    return int(key) if key and re.fullmatch(r"-?[0-9]{1,18}", key) else None, target if target and f"<{target}>" != headers.get("warc-record-id") else None
 
 
 def parse(raw: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -295,6 +296,8 @@ def stream(source, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes
         if not version.startswith("WARC/"):
             raise ValueError(f"no record where one should begin: {version[:40]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (f.partition(":") for f in lines)}
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError("a record without a length")
         size = stop + 4 + int(headers["content-length"])
         while len(held) < size + 4 and more():
             pass
@@ -305,7 +308,10 @@ def stream(source, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, key, url, body) of the records of the ``.warc`` and ``.warc.gz`` files in ``folder``; files are read as streams. A body that isn't UTF-8 has replacement characters."""
+    """(name, type, key, url, body) of the records of the ``.warc`` and ``.warc.gz`` files in ``folder``, whoever wrote them; files are read as streams.
+
+    A record of another writer has no key; the body of a response begins with its HTTP headers; a body that isn't UTF-8 has replacement characters.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc{,.gz}").load(folder).select("path", "length")
 
     def run(batches):
@@ -315,7 +321,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 out, size = [], 0
                 with fs.open_input_stream(at, compression=None) as source:
                     for headers, body in stream(source):
-                        out.append((at.rsplit("/", 1)[-1], *fields(headers), body.decode("utf-8", "replace")))
+                        out.append((at.rsplit("/", 1)[-1], headers.get("warc-type"), *fields(headers), body.decode("utf-8", "replace")))
                         size += len(body)
                         if size > BLOCK_BYTES:
                             yield packed(out)
@@ -324,9 +330,9 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     yield packed(out)
 
     def packed(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.string()))], ["name", "key", "url", "body"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()))], ["name", "type", "key", "url", "body"])
 
-    return files.select("path").mapInArrow(run, "name string, key long, url string, body string")
+    return files.select("path").mapInArrow(run, "name string, type string, key long, url string, body string")
 
 
 def fixity(spark: SparkSession, first: str, second: str) -> DataFrame:

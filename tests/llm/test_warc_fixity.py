@@ -68,13 +68,24 @@ def test_files_round_trip(spark, archive, compress):
     assert sorted(names) == sorted(r.name for r in files)
 
 
+def test_files_of_other_writers(spark, tmp_path):
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n"
+    answer = b"WARC/1.0\r\nwarc-type: response\r\nWARC-Target-URI: http://h/\r\nX-Record-Key: not a number\r\nContent-Length: 22\r\n\r\nHTTP/1.1 200 OK\r\n\r\n\xff\xfe!\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(answer))
+    (tmp_path / "b.warc").write_bytes(info)
+    (tmp_path / "notes.txt").write_text("no archive")
+    got = sorted(tuple(r) for r in W.read_files(spark, f"file://{tmp_path}").collect())
+    assert [(n, t, k, u) for n, t, k, u, _ in got] == [("a.warc.gz", "response", None, "http://h/"), ("a.warc.gz", "warcinfo", None, None), ("b.warc", "warcinfo", None, None)]
+    assert got[0][4] == "HTTP/1.1 200 OK\r\n\r\n\ufffd\ufffd!" and got[1][4] == "a:b"
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 100, 1 << 20])
 def test_streams_of_any_chunks(chunk):
     raws = [b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in (b"", b"\r\n\r\nWARC/1.1", bytes(range(256)) * 9)]
     for packed in (b"".join(raws), b"".join(map(gzip.compress, raws)), gzip.compress(b"".join(raws))):
         assert [b for _, b in W.stream(io.BytesIO(packed), chunk)] == [b"", b"\r\n\r\nWARC/1.1", bytes(range(256)) * 9]
     assert list(W.stream(io.BytesIO(b""), chunk)) == []
-    for broken in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", b"WARC/1.1\r\nContent", b"HTTP/1.1 200\r\n\r\n"):
+    for broken in (b"WARC/1.1\r\nWARC-Type: x\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", b"WARC/1.1\r\nContent", b"HTTP/1.1 200\r\n\r\n"):
         with pytest.raises(ValueError):
             list(W.stream(io.BytesIO(broken), chunk))
 
