@@ -37,10 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches
+from .common import estimated, pieces, small_batches
 
-#: Keys in the sample that ranges are cut by, for each range.
-SAMPLE = 20
+#: Keys in the sample that ranges are cut by, for each range, and altogether.
+SAMPLE, SAMPLED = 20, 100_000
+#: Bytes of pages in one range, by the plan's estimate, and ranges at most (they grow beyond that).
+RANGE_BYTES, MOST_RANGES = 64 << 20, 10_000
 #: Bits of the alignment table that are kept at once; larger ones are halved.
 TABLE_BITS = 1 << 28
 
@@ -298,9 +300,10 @@ def extract(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url
     path = F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     keyed = own.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
     ends_schema = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("host", pa.string()), ("marks", pa.binary()), ("first", pa.string()), ("last", pa.string())])
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, min(MOST_RANGES, estimated(pages) // RANGE_BYTES))
     key = lambda h, p, k: (h, p, k is not None, k or 0)
-    sample = keyed.select("host", "path", "page_id").orderBy(F.xxhash64("host", "path", "page_id"), "page_id").limit(SAMPLE * ranges).collect()
+    rate = min(SAMPLE * ranges, SAMPLED) / max(1, pages.count())
+    sample = keyed.select("host", "path", "page_id").where(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(1 << 30)) < min(1.0, rate) * (1 << 30)).distinct().collect()
     sample = sorted(key(r.host, r.path, r.page_id) for r in sample)
     cuts = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, released, small_batches
+from .common import Scratch, estimated, pieces, released, small_batches
 from .perfect_hash import PerfectHash, marks
 
 #: Ids in a shard, unless one document has more.
@@ -181,12 +181,6 @@ class Shard:
         return out
 
 
-def estimated(df: DataFrame) -> int:
-    """Bytes of ``df`` by the plan's statistics (of files, their size); 0 where they say nothing."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 62 else 0
-
-
 def write(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS, added: bool = False) -> None:
     """Encodes every whole text and writes the shards in ascending order of key. ``added``: as in Encoder."""
     tokenizer = tokenizer or vocabulary()
