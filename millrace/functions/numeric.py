@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    exps = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda a, y: a + y))
+    def shares(exps: Column) -> Column:
+        total = F.aggregate(exps, F.lit(0.0), lambda a, y: a + y)
+        return let(total, lambda t: F.transform(exps, lambda x: x / t))
+
+    return let(F.array_max(scores), lambda top: let(F.transform(scores, lambda x: F.exp(x - top)), shares))
 
 
 def argmax(scores: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numeric import let
 from .ordered import number_rows
 
 # Characters that the word tokenizer deletes, those that it cuts at, and those that the separating tokenizer keeps as tokens.
@@ -83,7 +84,9 @@ def known_answers(answers: Column, ids: Column) -> Column:
 def n_hot(ids: Column, counts: Column, size: int) -> Column:
     """The shares of ``counts`` at the places ``ids``."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.arrays_zip(ids.alias("i"), counts.alias("c")), F.lit(0.0), lambda a, x: a + F.when(x["i"] == k, x["c"].cast("double") / total).otherwise(0.0)))
+    pairs = F.arrays_zip(ids.alias("i"), counts.alias("c"))
+    at = lambda p, k: F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x["i"] == k, x["c"].cast("double")).otherwise(0.0))
+    return let(total, lambda t: let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(t > 0, at(p, k) / t).otherwise(0.0))))
 
 
 def sampled(items: Column, counts: Column, seed: int) -> Column:
