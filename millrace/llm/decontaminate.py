@@ -42,7 +42,7 @@ BLOCK_ITEMS = 16
 #: Bytes of item text in one part of the index, which takes some twenty times that in a worker.
 PART_BYTES = 4 << 20
 PUNCTUATION = b".,;:!?\"'()[]{}|#$%&*<>"
-#: Postings that are scored at once: they bound a worker's memory.
+#: Postings, and cells (passages x blocks), that are scored at once: they bound a worker's memory.
 CELLS = 1 << 20
 
 
@@ -102,6 +102,7 @@ class Index:
         cell = np.repeat(np.arange(len(sizes)), sizes) * max(1, self.blocks) + self.item // BLOCK_ITEMS
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
         self.block = cell[starts] % max(1, self.blocks)
+        self.cell_first = np.append(starts, len(self.item))
         self.block_max = np.maximum.reduceat(self.impact, starts) if len(starts) else np.zeros(0)
         self.block_first = np.searchsorted(cell[starts], np.arange(len(sizes) + 1) * max(1, self.blocks))
         self.list_max = np.zeros(len(sizes))
@@ -129,7 +130,7 @@ class Index:
 
         least = threshold - 1e-9  # sums differ in their last digits
         able = np.flatnonzero(total(self.list_max) >= least)
-        many = np.concatenate([[0], np.cumsum(total(np.diff(self.first))[able])])
+        many = np.concatenate([[0], np.cumsum(np.maximum(total(np.diff(self.first))[able], self.blocks))])
         best: dict[tuple[int, int], float] = {}
         at, n = 0, len(self.ids)
         while at < len(able):
@@ -143,15 +144,11 @@ class Index:
             key = np.unique(row * len(self.first) + found)  # a term counts once a passage
             row, term = key // len(self.first), key % len(self.first)
             of, posting = spread(row, term, self.block_first)
-            reach, upper = summed(of * self.blocks + self.block[posting], self.block_max[posting], len(some) * self.blocks)
-            reach = reach[upper >= least]
-            if not len(reach):
-                continue
-            alive = np.isin(row, reach // self.blocks)
-            of, posting = spread(row[alive], term[alive], self.first)
-            cell = of * self.blocks + self.item[posting] // BLOCK_ITEMS
-            use = reach[np.minimum(np.searchsorted(reach, cell), len(reach) - 1)] == cell
-            pair, scores = summed(of[use] * n + self.item[posting[use]], self.impact[posting[use]], len(some) * n)
+            cell = of * self.blocks + self.block[posting]
+            reach = np.bincount(cell, weights=self.block_max[posting], minlength=len(some) * self.blocks) >= least
+            use = reach[cell]
+            of, posting = spread(of[use], posting[use], self.cell_first)  # the items of those blocks only
+            pair, scores = summed(of * n + self.item[posting], self.impact[posting], len(some) * n)
             for k in np.flatnonzero(scores >= least).tolist():
                 match = (int(owner[some[pair[k] // n]]), int(pair[k] % n))
                 best[match] = max(best.get(match, 0.0), float(scores[k]))
