@@ -233,6 +233,29 @@ def test_generic(spark):
     generic.sink(spark.range(3), lambda f: None)
 
 
+def test_sink_gets_batches(spark):
+    """A partition comes in several frames, an empty one in none; nulls, structs and columns of one name or with a dot are kept."""
+    calls, rows, total = (spark.sparkContext.accumulator(0) for _ in range(3))
+
+    def fn(f):
+        calls.add(1)
+        rows.add(len(f))
+        total.add(int(f["id"].to_numpy().sum()) + int(f["a.even"].dropna().sum()) + sum(r["x"] for r in f["s"]))
+
+    def given(n, parts):
+        i = F.col("id")
+        return spark.range(0, n, 1, parts).select(i, F.when(i % 2 == 0, i).alias("a.even"), F.struct(i.alias("x")).alias("s"), (-i).alias("id"))
+
+    generic.sink(given(25_000, 1), fn)
+    assert calls.value >= 3
+    assert (rows.value, total.value) == (25_000, sum(range(0, 25_000, 2)) + sum(range(25_000)))
+    before = calls.value
+    generic.sink(given(2, 4), fn)
+    assert (calls.value - before, rows.value) == (2, 25_002)
+    generic.sink(spark.range(7).select(), lambda f: rows.add(len(f)))
+    assert rows.value == 25_009
+
+
 def plain_components(edges):
     parent = {}
 
